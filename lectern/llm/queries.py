@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, line_dedup, mixing, token_io
+from lectern.llm import bpe, langid, line_dedup, mixing, token_io
 from lectern.llm.minhash import near_duplicates
 from lectern.session import scratch_path
 
@@ -32,6 +32,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_boilerplate(_documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-ids")
     token_io.write(_documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
@@ -43,7 +47,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_minhash_near_dedup, op3_mix_sources, op5_line_dedup, op9_token_files, op10_byte_bpe)
+    own = (op2_minhash_near_dedup, op3_mix_sources, op5_line_dedup, op6_language_id, op9_token_files, op10_byte_bpe)
     return {f.__name__: f for f in own}
 
 
