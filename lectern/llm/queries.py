@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, langid, line_dedup, mixing, token_io
+from lectern.llm import bpe, langid, line_dedup, mixing, token_counts, token_io
 from lectern.llm.minhash import near_duplicates
 from lectern.session import scratch_path
 
@@ -20,6 +20,10 @@ def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
@@ -47,7 +51,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_minhash_near_dedup, op3_mix_sources, op5_line_dedup, op6_language_id, op9_token_files, op10_byte_bpe)
+    own = (op1_token_counts, op2_minhash_near_dedup, op3_mix_sources, op5_line_dedup, op6_language_id, op9_token_files, op10_byte_bpe)
     return {f.__name__: f for f in own}
 
 
