@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, langid, line_dedup, mixing, token_counts, token_io
+from lectern.llm import ann, bpe, embed_dedup, langid, line_dedup, mixing, secret_scan, token_counts, token_io
 from lectern.llm.minhash import near_duplicates
 from lectern.session import scratch_path
 
@@ -32,6 +32,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_embeddings(spark, sf_dir))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_boilerplate(_documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -40,6 +44,15 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _embeddings(spark, sf_dir)
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_documents(spark, sf_dir))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-ids")
     token_io.write(_documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
@@ -51,7 +64,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_counts, op2_minhash_near_dedup, op3_mix_sources, op5_line_dedup, op6_language_id, op9_token_files, op10_byte_bpe)
+    own = (
+        op1_token_counts,
+        op2_minhash_near_dedup,
+        op3_mix_sources,
+        op4_embedding_near_dedup,
+        op5_line_dedup,
+        op6_language_id,
+        op7_nearest_neighbours,
+        op8_secret_scan,
+        op9_token_files,
+        op10_byte_bpe,
+    )
     return {f.__name__: f for f in own}
 
 
