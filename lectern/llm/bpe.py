@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import slices
+from lectern.llm.common import extended, sliced
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -129,16 +129,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, offsets: bool = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(ranks_path, pattern)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, z in slices(texts):
-                columns = [batch.column("doc_id").slice(a, z - a), pa.array(codec.encode(texts[a:z]), pa.binary())]
-                names = ["doc_id", "ids"]
-                if offsets:
-                    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                    columns.append(pa.array([[{"start": s, "end": e} for s, e in codec.offsets(t or "")] for t in texts[a:z]], kind))
-                    names.append("offsets")
-                yield pa.RecordBatch.from_arrays(columns, names)
+        for part, texts in sliced(batches):
+            new = {"ids": pa.array(codec.encode(texts), pa.binary())}
+            if offsets:
+                kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+                new["offsets"] = pa.array([[{"start": s, "end": e} for s, e in codec.offsets(t or "")] for t in texts], kind)
+            yield extended(part, ["doc_id"], **new)
 
     more = ", offsets array<struct<start:int,end:int>>" if offsets else ""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

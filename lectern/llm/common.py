@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Words kept in a worker's word table before it is emptied.
@@ -72,3 +73,16 @@ def slices(texts, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
         size += n + 50
     if start < len(texts):
         yield start, len(texts)
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Parts of the batches that hold about SLICE_CHARS characters in `text`, and those texts."""
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for a, z in slices(texts):
+            yield batch.slice(a, z - a), texts[a:z]
+
+
+def extended(part: pa.RecordBatch, keep: list[str], **new: pa.Array) -> pa.RecordBatch:
+    """The columns `keep` of a batch as they are, and new ones."""
+    return pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *new.values()], [*keep, *new])

@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import slices, utf8
+from lectern.llm.common import extended, sliced, utf8
 
 ORDER = 3
 #: Bounds of the learning sample: texts of a language, and bytes of a text that may be one of them.
@@ -173,24 +174,22 @@ def predict(docs: DataFrame, models: dict[str, Model], keep: tuple[str, ...] = (
     types = dict(rows.dtypes)
     passed = ["doc_id", "held_out", *[f"__{c}" for c in keep]]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value) if names else None
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for a, z in slices(texts):
-                own = [utf8(t) for t in texts[a:z]]
-                some = [k for k in range(z - a) if names and has_letter(texts[a + k])]
-                lang, score, rate = ["und"] * (z - a), [0.0] * (z - a), [None] * (z - a)
-                bits = scorer.bits([own[k] for k in some]) if some else []
-                for k, b in zip(some, bits, strict=True):
-                    best = int(np.argmin(b))
-                    lang[k] = names[best]
-                    score[k] = 1.0 / float(np.exp2(np.maximum(b[best] - b, -1000.0)).sum())
-                    rate[k] = float(b[best]) / len(own[k])
-                yield pdf.iloc[a:z][passed].assign(lang_pred=lang, score=score, bits_per_byte=pd.Series(rate, index=pdf.index[a:z], dtype="float64"))
+        for part, texts in sliced(batches):
+            own = [utf8(t) for t in texts]
+            some = [k for k, t in enumerate(texts) if names and has_letter(t)]
+            lang, score, rate = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
+            bits = scorer.bits([own[k] for k in some]) if some else []
+            for k, b in zip(some, bits, strict=True):
+                best = int(np.argmin(b))
+                lang[k] = names[best]
+                score[k] = 1.0 / float(np.exp2(np.maximum(b[best] - b, -1000.0)).sum())
+                rate[k] = float(b[best]) / len(own[k])
+            yield extended(part, passed, lang_pred=pa.array(lang, pa.string()), score=pa.array(score, pa.float64()), bits_per_byte=pa.array(rate, pa.float64()))
 
     schema = ", ".join(f"`{c}` {types[c]}" for c in passed) + ", lang_pred string, score double, bits_per_byte double"
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import U, mix, shingles, slices
+from lectern.llm.common import U, extended, mix, shingles, sliced
 from lectern.operators.graph import connected_components
 from lectern.session import materialise
 
@@ -41,7 +42,7 @@ TASK_SHINGLES = 1_000_000
 
 def sketch(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
     """One row of 64-bit coordinates for each non-empty set."""
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
     out = np.full((len(sets), bins), np.iinfo(np.uint64).max, dtype=np.uint64)
     flat = out.reshape(-1)
     active = np.arange(len(sets))
@@ -63,23 +64,26 @@ def sketch(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
 def _sketches(bins: int, rows: int, width: int):
     bands = bins // rows
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for a, z in slices(texts):
-                sets = [shingles(t, width) for t in texts[a:z]]
-                some = [k for k, s in enumerate(sets) if len(s)]
-                s = sketch([sets[k] for k in some], bins)
-                keys = np.tile(np.arange(bands, dtype=np.uint64) + U(1), (len(some), 1))
-                for r in range(rows):
-                    keys = mix(keys * U(0x9E3779B97F4A7C15) + s[:, r::rows][:, :bands])
-                low = (mix(s) & U(0xFF)).astype(np.uint8)
-                out = pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:z].to_numpy(), "n_shingles": [len(x) for x in sets]})
-                out["fp"] = [hashlib.md5(x.tobytes()).digest() if len(x) else None for x in sets]
-                sk, kk = [None] * len(sets), [None] * len(sets)
-                for at, k in enumerate(some):
-                    sk[k], kk[k] = low[at].tobytes(), keys[at].view(np.int64)
-                yield out.assign(sketch=sk, bands=kk)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in sliced(batches):
+            sets = [shingles(t, width) for t in texts]
+            some = [k for k, s in enumerate(sets) if len(s)]
+            s = sketch([sets[k] for k in some], bins)
+            keys = np.tile(np.arange(bands, dtype=np.uint64) + U(1), (len(some), 1))
+            for r in range(rows):
+                keys = mix(keys * U(0x9E3779B97F4A7C15) + s[:, r::rows][:, :bands])
+            low = (mix(s) & U(0xFF)).astype(np.uint8)
+            sk, kk = [None] * len(sets), [None] * len(sets)
+            for at, k in enumerate(some):
+                sk[k], kk[k] = low[at].tobytes(), keys[at].view(np.int64)
+            yield extended(
+                part,
+                ["doc_id"],
+                n_shingles=pa.array([len(x) for x in sets], pa.int64()),
+                fp=pa.array([hashlib.md5(x.tobytes()).digest() if len(x) else None for x in sets], pa.binary()),
+                sketch=pa.array(sk, pa.binary()),
+                bands=pa.array(kk, pa.list_(pa.int64())),
+            )
 
     return run
 
@@ -97,12 +101,9 @@ def _agreement(bins: int):
 
 
 def _sets(width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for a, z in slices(texts):
-                part = pdf.iloc[a:z].drop(columns="text")
-                yield part.assign(members=[shingles(t, width).tobytes() for t in texts[a:z]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in sliced(batches):
+            yield extended(part, ["doc_id", "grp", "tasks"], members=pa.array([shingles(t, width).tobytes() for t in texts], pa.binary()))
 
     return run
 
@@ -172,9 +173,9 @@ def near_duplicates(
     rows. Links need one of bins // rows bands of equal coordinates: at a
     similarity of exactly 0.85, one in some millions is missed.
     """
-    base = docs.select("doc_id", "text")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = materialise(
-        base.mapInPandas(_sketches(bins, rows, width), "doc_id long, n_shingles long, fp binary, sketch binary, bands array<long>"), "sketches"
+        base.mapInArrow(_sketches(bins, rows, width), "doc_id long, n_shingles long, fp binary, sketch binary, bands array<long>"), "sketches"
     )
     classes = table.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     heads = materialise(
@@ -210,7 +211,7 @@ def near_duplicates(
     )
     one = F.array(F.struct(F.lit(-1).alias("s"), F.lit(0).alias("up"), F.lit(0).alias("i"), F.lit(0).alias("j")))
     placed = placed.select(F.col("rep").alias("doc_id"), "grp", F.when(F.col("total") <= task_shingles, one).otherwise(to).alias("tasks"))
-    members = base.join(placed, "doc_id").mapInPandas(_sets(width), "doc_id long, grp long, tasks array<struct<s:int,up:int,i:int,j:int>>, members binary")
+    members = base.join(placed, "doc_id").mapInArrow(_sets(width), "doc_id long, grp long, tasks array<struct<s:int,up:int,i:int,j:int>>, members binary")
     links = (
         members.select("doc_id", "members", "grp", F.explode("tasks").alias("t"))
         .groupBy("grp", "t")

@@ -78,9 +78,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total:
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("size").reset_index(drop=True)
     sizes, counts = pdf["size"].tolist(), pdf["n"].tolist()
-    budget, have = int(round(pdf["target"].iloc[0])), int(pdf["source_size"].iloc[0])
-    base = budget // have if have else 0
-    more = fit_counts(sizes, counts, budget - base * have) if have and budget > base * have else [0] * len(sizes)
+    take = fit_counts(sizes, [n * MOST_COPIES for n in counts], int(round(pdf["target"].iloc[0])))
+    base, more = zip(*[divmod(t, n) for t, n in zip(take, counts, strict=True)], strict=True)
     return pd.DataFrame({"source": pdf["source"], "size": sizes, "base": base, "more": more})
 
 

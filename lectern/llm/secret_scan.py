@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import slices, utf8
+from lectern.llm.common import extended, sliced, utf8
 
 #: The base patterns and the least length of their match or, for assign, of group 2.
 BASE = (
@@ -122,6 +123,20 @@ class Field:
 
     def decode(self, texts: list[str], kinds: list[int]) -> list[list[tuple[int, int]]]:
         """(first word, last word) of each tagged secret of each text; kinds: features of the texts."""
+        return [[(first + a, first + z) for first, tags in runs for a, z in spans_of(tags)] for _, runs in self._decoded(texts, kinds)]
+
+    def decode_tags(self, texts: list[str], kinds: list[int]) -> list[list[int]]:
+        """The tag of every word."""
+        out = []
+        for n, runs in self._decoded(texts, kinds):
+            tags = [O] * n
+            for first, own in runs:
+                tags[first : first + len(own)] = own
+            out.append(tags)
+        return out
+
+    def _decoded(self, texts: list[str], kinds: list[int]) -> list[tuple[int, list[tuple[int, list[int]]]]]:
+        """For each text the number of its words, and (first word, tags) of the runs that had to be decoded."""
         if len(self.words) > WORD_TABLE:
             self._reset()
         numbers, bounds = [0], []
@@ -146,15 +161,14 @@ class Field:
         open_ = e[:, O] - np.maximum(e[:, B], e[:, I]) <= self.slack
         open_[0] = False
         open_[[z for _, z in bounds]] = False
-        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        out: list[tuple[int, list[tuple[int, list[int]]]]] = [(z - a, []) for a, z in bounds]
         spots = np.flatnonzero(open_)
         if len(spots):
             owner = np.searchsorted([z for _, z in bounds], spots)
             for run in np.split(np.arange(len(spots)), np.flatnonzero(np.diff(spots) > 1) + 1):
                 doc = int(owner[run[0]])
                 first = int(spots[run[0]])
-                for a, z in spans_of(viterbi(e[first : first + len(run)], self.moves)):
-                    out[doc].append((first + a - bounds[doc][0], first + z - bounds[doc][0]))
+                out[doc][1].append((first - bounds[doc][0], viterbi(e[first : first + len(run)], self.moves)))
         return out
 
 
@@ -303,29 +317,30 @@ def find_secrets(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast((field.weights, field.moves) if field else None)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Field(*shared.value) if shared.value else None
-        for pdf in batches:
-            texts = [t or "" for t in pdf["text"].tolist()]
-            for a, z in slices(texts):
-                found = [base_spans(t) for t in texts[a:z]]
-                if own:
-                    kinds = [text_kind(t, bool(s)) for t, s in zip(texts[a:z], found, strict=True)]
-                    for t, spans, tagged in zip(texts[a:z], found, own.decode(texts[a:z], kinds), strict=True):
-                        if not tagged:
-                            continue
-                        words, base = [m.span() for m in _WORD.finditer(t)], list(spans)
-                        for i, j in tagged:
-                            start, end = words[i][0], words[j][1]
-                            if all(end <= x or y <= start for _, x, y in base):
-                                spans.append((FIELD, start, end))
-                for spans in found:
-                    spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
-                rows = [[{"kind": k, "start": s, "end": e} for k, s, e in spans] for spans in found]
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:z].to_numpy(), "spans": rows})
+        for part, texts in sliced(batches):
+            texts = [t or "" for t in texts]
+            found = [base_spans(t) for t in texts]
+            if own:
+                kinds = [text_kind(t, bool(s)) for t, s in zip(texts, found, strict=True)]
+                for t, spans, tagged in zip(texts, found, own.decode(texts, kinds), strict=True):
+                    if not tagged:
+                        continue
+                    words, base = [m.span() for m in _WORD.finditer(t)], list(spans)
+                    for i, j in tagged:
+                        start, end = words[i][0], words[j][1]
+                        if all(end <= x or y <= start for _, x, y in base):
+                            spans.append((FIELD, start, end))
+            for spans in found:
+                spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
+            rows = [[{"kind": k, "start": s, "end": e} for k, s, e in spans] for spans in found]
+            yield extended(part, ["doc_id"], spans=pa.array(rows, kind))
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInPandas(run, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
+    return docs.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
 
 
 def digest(found: DataFrame) -> DataFrame:

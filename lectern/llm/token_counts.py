@@ -13,12 +13,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.bpe import Codec, read_ranks
-from lectern.llm.common import slices
+from lectern.llm.common import extended, sliced
 
 #: Units whose counts a worker keeps before it empties its table.
 UNIT_TABLE = 500_000
@@ -100,14 +100,11 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     empty text has none. A row is returned for each input row.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter.of(ranks_path, pattern)
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for a, z in slices(texts):
-                got = pd.DataFrame(counter.count(texts[a:z]), columns=["n_pretokens", "n_tokens"])
-                got.insert(0, "doc_id", pdf["doc_id"].iloc[a:z].to_numpy())
-                yield got
+        for part, texts in sliced(batches):
+            got = counter.count(texts)
+            yield extended(part, ["doc_id"], n_pretokens=pa.array([a for a, _ in got], pa.int64()), n_tokens=pa.array([b for _, b in got], pa.int64()))
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInPandas(run, "doc_id long, n_pretokens long, n_tokens long")
+    return docs.mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
