@@ -71,8 +71,7 @@ class Index:
             at = np.flatnonzero(pending & (counts >= self.threshold))
             if len(at):
                 pending[at] = False
-                d = self.vectors[at] - query
-                found.append(np.sqrt(np.einsum("ij,ij->i", d, d)))
+                found.append(distance(self.vectors[at] - query))
                 found_ids.append(self.ids[at])
             distances = np.concatenate(found)
             if (distances <= radius).sum() >= k or not pending.any():
@@ -82,6 +81,14 @@ class Index:
             radius *= GROWTH
 
 
+def distance(d: np.ndarray) -> np.ndarray:
+    """Lengths of the rows, squares added from first to last, so that no library's order of summing matters."""
+    total = np.zeros(len(d))
+    for column in d.T:
+        total += column * column
+    return np.sqrt(total)
+
+
 def _search(k: int, projections: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         is_query = pdf["query"].to_numpy()
@@ -130,3 +137,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BL
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+
+SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+q AS (SELECT * FROM v WHERE vec_id % 100 = 0),
+d AS (SELECT q.vec_id AS query_id, v.vec_id, list_distance(q.e, v.e) AS score FROM q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM d)
+SELECT * FROM r WHERE rank <= 10
+"""

@@ -205,3 +205,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "rep", "vec_id"))
     n_links = F.when(F.col("vec_id").isNotNull(), F.coalesce(F.col("found"), F.lit(0)) + F.coalesce(F.col("weight"), F.lit(1)) - 1).otherwise(0)
     return out.select("vec_id", n_links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+
+
+SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) >= {THRESHOLD} * a.n * b.n),
+r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, coalesce(e.vec_id = c.component_id, FALSE) AS kept
+FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+"""

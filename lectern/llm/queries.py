@@ -7,8 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import ann, bpe, embed_dedup, langid, line_dedup, mixing, secret_scan, token_counts, token_io
-from lectern.llm.minhash import near_duplicates
+from lectern.llm import ann, bpe, embed_dedup, langid, line_dedup, minhash, mixing, secret_scan, token_counts, token_io
 from lectern.session import scratch_path
 
 
@@ -25,7 +24,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_documents(spark, sf_dir))
+    return minhash.near_duplicates(_documents(spark, sf_dir))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +79,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.SQL}
+    return {
+        "op2_minhash_near_dedup": minhash.SQL,
+        "op4_embedding_near_dedup": embed_dedup.SQL,
+        "op5_line_dedup": line_dedup.SQL,
+        "op7_nearest_neighbours": ann.SQL,
+    }
