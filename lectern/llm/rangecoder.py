@@ -16,12 +16,18 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 4096
+BLOCK = 2048
 LANES = 2048
-SLOTS1, SLOTS2 = 2048, 4096
-CLASSES = 32  # two for each bit length: ids below MOST_IDS
+SLOTS1, SLOTS2 = 1024, 2048
+#: A class of magnitude for each bit length of id + 1; the bits below the first are coded as they are.
 MOST_IDS = (1 << 16) - 1
-RAW_MOST = 14
+N, RAW_MOST, CDF_BITS = 16, 15, 14
+LIMITS, RAWS = 1 << np.arange(N), np.arange(N)
+CLASS_OF = np.searchsorted(LIMITS, np.arange(MOST_IDS + 1), side="right") - 1
+#: Targets of the distribution's update: row c pulls towards class c. With 40 for each class, rounding
+#: down after a shift by 5 never leaves a class less than 8.
+_FLOOR = np.arange(N + 1) * 40
+_TARGET = (np.where(np.arange(N + 1)[None, :] > np.arange(N)[:, None], (1 << CDF_BITS) - N * 40, 0) + _FLOOR[None, :]).astype(np.int16)
 
 _x = np.arange(4096)
 
@@ -40,29 +46,6 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 SQUASH, STRETCH = _tables()
 
-
-def _class_tables() -> tuple[np.ndarray, np.ndarray]:
-    """Least value (id + 1) and number of raw bits of each class."""
-    base, raw = [], []
-    for c in range(CLASSES):
-        n, half = divmod(c, 2)
-        base.append((1 << n) + (half << (n - 1) if n else 0))
-        raw.append(max(0, n - 1))
-    base, raw = np.array(base, dtype=np.int64), np.array(raw, dtype=np.int64)
-    base[1] = 2  # a bit length of one has a single class
-    return base, raw
-
-
-BASE, RAW = _class_tables()
-_ORDER = np.array([0, *range(2, CLASSES)])
-LIMITS, RAWS = BASE[_ORDER], RAW[_ORDER]
-N = len(_ORDER)
-CLASS_OF = np.searchsorted(LIMITS, np.arange(MOST_IDS + 1), side="right") - 1
-#: Targets of the distribution's update: row c pulls towards class c. With 40 for each class, rounding
-#: down after a shift by 5 never leaves a class less than 8.
-_FLOOR = np.arange(N + 1) * 40
-_TARGET = np.where(np.arange(N + 1)[None, :] > np.arange(N)[:, None], (1 << 15) - N * 40, 0) + _FLOOR[None, :]
-
 U = np.uint64
 #: A state below BOT is widened; 16 bits for the candidates and 29 for class and low bits fit below it.
 TOP, BOT = U(1 << 48), U(1 << 47)
@@ -74,6 +57,7 @@ class _Model:
     def __init__(self, lanes: int):
         self.n = lanes
         row = np.arange(lanes, dtype=np.int64)
+        self.wide = row * (N + 1)
         self.o1, self.o2, self.row = row * SLOTS1, row * SLOTS2, row
         self.t1, self.t2 = np.zeros(lanes * SLOTS1, np.uint32), np.zeros(lanes * SLOTS2, np.uint32)
         self.p2 = np.tile((np.arange(8, dtype=np.int32) * 7000 + 8000), lanes)
@@ -81,7 +65,7 @@ class _Model:
         self.p0 = np.full(lanes, 20000, np.int32)
         self.pb = np.full(lanes * 8, 1200, np.int32)
         self.w = [np.full(lanes, 26000, np.int32), np.full(lanes, 20000, np.int32), np.full(lanes, 8000, np.int32)]
-        self.cdf = np.tile(np.linspace(0, 1 << 15, N + 1).astype(np.int32), (lanes, 1))
+        self.cdf = np.tile(np.linspace(0, 1 << CDF_BITS, N + 1).astype(np.int16), (lanes, 1))
         self.a, self.b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def narrow(self, lanes: int) -> None:
@@ -152,7 +136,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     """The blocks' lengths must not increase."""
     lanes, sizes = len(blocks), np.array([len(x) for x in blocks])
     block = int(sizes[0])
-    grid = np.zeros((lanes, block), np.int64)
+    grid = np.zeros((lanes, block), np.uint16)
     for k, x in enumerate(blocks):
         if len(x) and not 0 <= x.min() <= x.max() < MOST_IDS:
             raise ValueError(f"ids must be at least 0 and below {MOST_IDS}")
@@ -191,7 +175,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
             done(low, keep)
             m.narrow(keep)
             low, rng = low[:keep].copy(), rng[:keep].copy()
-        x = grid[step, : m.n]
+        x = grid[step, : m.n].astype(np.int64)
         fa, fb = m.predict()
         hit_a = m.has_a & (x == m.ca)
         hit_b = m.has_b & (x == m.cb) & ~hit_a
@@ -205,9 +189,10 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
             v = x[at] + 1
             c = CLASS_OF[v]
             rows = m.cdf[at]
-            cum = np.take_along_axis(rows, c[:, None], 1)[:, 0].astype(np.int64)
-            each = (np.take_along_axis(rows, c[:, None] + 1, 1)[:, 0] - cum) << (RAW_MOST - RAWS[c])
-            r = rng[at] >> U(15 + RAW_MOST)
+            flat, k = rows.reshape(-1), c + m.wide[: len(at)]
+            cum = flat[k].astype(np.int64)
+            each = (flat[k + 1] - cum) << (RAW_MOST - RAWS[c])
+            r = rng[at] >> U(CDF_BITS + RAW_MOST)
             low[at] += r * ((cum << RAW_MOST) + each * (v - LIMITS[c])).astype(np.uint64)
             rng[at] = r * each.astype(np.uint64)
             m.learn_class(at, rows, c)
@@ -236,7 +221,7 @@ def _decode(blocks: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     for k, b in enumerate(blocks):
         words[k, : len(b) // 2] = np.frombuffer(b, "<u2")
     sizes = np.array(lengths)
-    out = np.zeros((max(lengths), lanes), np.int64)
+    out = np.zeros((max(lengths), lanes), np.uint16)
     m = _Model(lanes)
     code = sum(words[:, k].astype(np.uint64) << U(48 - 16 * k) for k in range(4))
     count = np.full(lanes, 4, np.int64)
@@ -273,12 +258,13 @@ def _decode(blocks: list[bytes], lengths: list[int]) -> list[np.ndarray]:
         x = np.where(hit_a, m.ca, m.cb)
         at = np.flatnonzero(miss)
         if len(at):
-            r = rng[at] >> U(15 + RAW_MOST)
-            v = np.minimum((code[at] - low[at]) // r, U((1 << 15 + RAW_MOST) - 1)).astype(np.int64)  # more only in a corrupt block
+            r = rng[at] >> U(CDF_BITS + RAW_MOST)
+            v = np.minimum((code[at] - low[at]) // r, U((1 << CDF_BITS + RAW_MOST) - 1)).astype(np.int64)  # more only in a corrupt block
             rows = m.cdf[at]
-            c = (rows[:, 1:] <= (v >> RAW_MOST).astype(np.int32)[:, None]).sum(axis=1)
-            cum = np.take_along_axis(rows, c[:, None], 1)[:, 0].astype(np.int64)
-            each = (np.take_along_axis(rows, c[:, None] + 1, 1)[:, 0] - cum) << (RAW_MOST - RAWS[c])
+            c = (rows[:, 1:] <= (v >> RAW_MOST).astype(np.int16)[:, None]).sum(axis=1)
+            flat, k = rows.reshape(-1), c + m.wide[: len(at)]
+            cum = flat[k].astype(np.int64)
+            each = (flat[k + 1] - cum) << (RAW_MOST - RAWS[c])
             raw = (v - (cum << RAW_MOST)) // each
             low[at] += r * ((cum << RAW_MOST) + each * raw).astype(np.uint64)
             rng[at] = r * each.astype(np.uint64)
