@@ -65,7 +65,7 @@ def tokenize(path: str, texts: list[str | None], end: int | None = None) -> list
     cut = [utf8(t).lower().split() if lower else utf8(t).split() for t in texts]
     fresh = list({p for c in cut for p in c if p not in table})
     for p, e in zip(fresh, own.encode_batch_fast([p.decode() for p in fresh], add_special_tokens=False), strict=True):
-        table[p] = np.array(e.ids, dtype="<u4").tobytes()
+        table[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
     last = b"" if end is None else struct.pack("<I", end)
     return [b"".join(map(table.__getitem__, c)) + last for c in cut]
 
