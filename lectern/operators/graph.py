@@ -47,3 +47,27 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     return e.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(
         e.select(F.col("v").alias("id"), F.col("v").alias("component_id"))
     ).groupBy("id").agg(F.min("component_id").alias("component_id"))
+
+
+def reachable(edges: DataFrame, src: str = "src", dst: str = "dst", max_depth: int = 64) -> DataFrame:
+    """All (src, dst, depth) with a path of one edge or more; depth is that of the shortest.
+
+    Semi-naive: each round joins the pairs that the last one found with the
+    edges, and keeps those not seen. Cycles end when nothing is new; beyond
+    max_depth an error is raised. Null ends are ignored.
+    """
+    e = materialise(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct(), "edges")
+    found = fresh = e.withColumn("depth", F.lit(1))
+    step = e.withColumnsRenamed({"src": "mid", "dst": "to"})
+    for depth in range(2, max_depth + 2):
+        new = fresh.join(step, F.col("dst") == F.col("mid")).select("src", F.col("to").alias("dst")).distinct()
+        fresh = materialise(new.join(found, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)), "reach")
+        if fresh.isEmpty():
+            return found
+        found = found.unionByName(fresh)
+    raise RuntimeError(f"paths longer than {max_depth}")
+
+
+def on_cycle(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """Vertices (id) that lie on a cycle of two vertices or more; self edges don't count."""
+    return reachable(edges.where(F.col(src) != F.col(dst)), src, dst).where("src = dst").select(F.col("src").alias("id"))
