@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import documents
+from lectern.plans import documents, tables
 
-_ALL = documents.QUERIES
+_ALL = documents.QUERIES | tables.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
