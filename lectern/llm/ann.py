@@ -3,7 +3,9 @@
 Every block of vectors is indexed by `projections` random directions, each a
 sorted array of the vectors' projections. A search at radius R looks at the
 windows of half-width WIDTH * R / 2 about the query's projections; larger radii
-widen the windows and only what is new is counted (virtual rehashing). A vector
+widen the windows and only what is new is counted (virtual rehashing). The
+first radius is START of the distance at which a sample has k neighbours, for
+smaller ones would seldom end the search. A vector
 that lies in enough windows is verified by its exact distance. At its distance
 a neighbour is in a share p of the windows, p = 2 * Phi(WIDTH / 2) - 1; the
 threshold is SIGMAS standard deviations below. The search of a block ends when
@@ -24,8 +26,10 @@ from lectern.llm.vectors import matrix, usable
 
 PROJECTIONS = 64
 WIDTH = 2.719
-SIGMAS = 2.5
-GROWTH = 1.2
+SIGMAS = 2.0
+GROWTH = 1.1
+START = 0.87
+SAMPLE = 256
 #: Vectors of a block, and queries that one task searches it for.
 BLOCK = 8_192
 QUERIES = 2_000
@@ -38,6 +42,7 @@ class Index:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
         self.directions = np.random.default_rng(seed).standard_normal((vectors.shape[1], projections))
+        self.sample = np.arange(0, len(ids), -(-len(ids) // SAMPLE))
         p = self.vectors @ self.directions
         self.order = np.argsort(p, axis=0, kind="stable").astype(np.int32).T.copy()
         self.sorted = np.take_along_axis(p, self.order.T, axis=0).T.copy()
@@ -52,8 +57,9 @@ class Index:
         high = low.copy()
         counts, pending = np.zeros(n, np.int32), np.ones(n, bool)
         pending[np.searchsorted(self.ids, own, "left") : np.searchsorted(self.ids, own, "right")] = False
-        found_ids, found = [np.empty(0, np.int64)], [np.empty(0)]
-        radius = float(np.abs(self.sorted[0][min(low[0], n - 1)] - centre[0])) + 1e-3 * float(np.linalg.norm(query))
+        found_at, found = [np.empty(0, np.int64)], [np.empty(0)]
+        near = np.sort(np.linalg.norm(self.vectors[self.sample[pending[self.sample]]] - query, axis=1))
+        radius = (START * float(near[min(k, len(near)) - 1]) if len(near) else 1.0) + 1e-6 * float(np.linalg.norm(query))
         while True:
             half = WIDTH * radius / 2
             parts = []
@@ -71,13 +77,16 @@ class Index:
             at = np.flatnonzero(pending & (counts >= self.threshold))
             if len(at):
                 pending[at] = False
-                found.append(distance(self.vectors[at] - query))
-                found_ids.append(self.ids[at])
+                d = self.vectors[at] - query
+                found.append(np.sqrt(np.einsum("ij,ij->i", d, d)))
+                found_at.append(at)
             distances = np.concatenate(found)
             if (distances <= radius).sum() >= k or not pending.any():
-                ids = np.concatenate(found_ids)
-                best = np.lexsort((ids, distances))[:k]
-                return list(zip(distances[best].tolist(), ids[best].tolist(), strict=True))
+                at = np.concatenate(found_at)
+                close = at if len(at) <= k else at[distances <= np.partition(distances, k - 1)[k - 1] * (1 + 1e-9)]
+                exact, ids = distance(self.vectors[close] - query), self.ids[close]
+                best = np.lexsort((ids, exact))[:k]
+                return list(zip(exact[best].tolist(), ids[best].tolist(), strict=True))
             radius *= GROWTH
 
 
