@@ -24,7 +24,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the smallest doc_id, of each near-duplicate component; those without an id stay."""
+    """Keep one document, that of the smallest doc_id, of each near-duplicate component (five words, 0.8); those without an id stay."""
     kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
 

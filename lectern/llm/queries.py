@@ -24,7 +24,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_documents(spark, sf_dir))
+    return minhash.near_duplicates(_documents(spark, sf_dir), width=3, num=85)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

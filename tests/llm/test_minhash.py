@@ -46,7 +46,7 @@ def families(seed=2):
 def test_components(spark, task_shingles):
     rows = families()
     docs = spark.createDataFrame([(i, t, 0, "") for i, t in rows], "doc_id long, text string, fp int, rep string")
-    got = minhash.near_duplicates(docs, task_shingles=task_shingles).collect()
+    got = minhash.near_duplicates(docs, width=3, num=85, task_shingles=task_shingles).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain(rows)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 

@@ -53,9 +53,9 @@ def test_near_dedup(kept):
     sets = {}
     for r in kept["line_dedup"].collect():
         w = r.text.encode().lower().split()
-        sets[r.doc_id] = {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
     label = {i: i for i in sets}
-    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) > 0]
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0]
     for _ in sets:
         for a, b in pairs:
             label[a] = label[b] = min(label[a], label[b])
