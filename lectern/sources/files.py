@@ -23,9 +23,8 @@ def include_closure(files: DataFrame, root: str) -> DataFrame:
     """
     targets = F.regexp_extract_all(strip_comments("text"), F.lit(r"\\(?:input|include)\s*\{([^}]*)\}"), F.lit(1))
     edges = files.select(F.col("path").alias("src"), F.explode(targets).alias("target")).withColumn("target", F.trim("target"))
-    known = files.select(F.col("path").alias("dst"))
-    hits = edges.join(known, (F.col("dst") == F.col("target")) | (F.col("dst") == F.concat("target", F.lit(".tex"))))
-    first = hits.groupBy("src", "target").agg(F.min_by("dst", F.length("dst")).alias("dst"))
+    tried = edges.select("src", "target", F.posexplode(F.array("target", F.concat("target", F.lit(".tex")))).alias("rank", "dst"))
+    first = tried.join(files.select(F.col("path").alias("dst")), "dst").groupBy("src", "target").agg(F.min_by("dst", "rank").alias("dst"))
     below = reachable(first.select("src", "dst")).where(F.col("src") == root).select(F.col("dst").alias("path"), "depth")
     start = files.where(F.col("path") == root).select("path", F.lit(0).alias("depth"))
     return start.unionByName(below.where(F.col("path") != root))
