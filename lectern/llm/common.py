@@ -2,22 +2,57 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
 
 #: Words kept in a worker's word table before it is emptied.
-WORD_TABLE = 400_000
+WORD_TABLE = 200_000
 #: Characters of text that a worker handles at a time; one longer text is handled alone.
-SLICE_CHARS = 3_000_000
+SLICE_CHARS = 1_000_000
+
+#: Rows of an Arrow batch of whole texts. Spark's own bound counts rows only, 10,000 of them, whatever their length.
+BATCH_ROWS = 1_000
 
 _words: dict[bytes, int] = {}
 
 U = np.uint64
 
 
+def bounded(texts: DataFrame) -> DataFrame:
+    """The same table; the session's Arrow batches come down to BATCH_ROWS rows if they are larger."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", texts.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return texts
+
+
+def tidy(run: Callable, drop: Callable[[], None] = lambda: None) -> Callable:
+    """A function over batches that, when its task ends, drops what it kept and gives the memory back.
+
+    Python workers outlive tasks, and the next task may be another operator's.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            drop()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of MurmurHash3, a bijection."""
     x = x ^ (x >> U(33))
@@ -31,6 +66,10 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def drop_words() -> None:
+    _words.clear()
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash of each word `[^\\x20\\x09-\\x0D]+` of the text, A-Z in lower case."""
     words = utf8(text).lower().split()

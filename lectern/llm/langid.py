@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import extended, sliced, utf8
+from lectern.llm.common import bounded, extended, sliced, tidy, utf8
 
 ORDER = 3
 #: Bounds of the learning sample: texts of a language, and bytes of a text that may be one of them.
@@ -28,7 +28,7 @@ SAMPLE_TEXTS = 300
 SAMPLE_BYTES = 65_536
 #: Bits for a byte, under the best language, from which a text counts as no language.
 MOST_BITS = 9.0
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: Distinct byte pairs that a worker's price table is made for.
 PAIRS = 4096
 
@@ -149,7 +149,8 @@ def fit(docs: DataFrame, texts: int = SAMPLE_TEXTS, most_bytes: int = SAMPLE_BYT
     known = docs.where((_remainder() != 2) & F.col("lang").isNotNull() & (F.octet_length("text") <= most_bytes) & (F.octet_length("text") > 0))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = known.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= texts).select("doc_id", "lang")
-    sample = known.select("doc_id", "lang", "text").join(ids.distinct(), ["doc_id", "lang"], "left_semi")
+    # `texts` ids of each language, and as many models come to the driver anyway
+    sample = known.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), ["doc_id", "lang"], "left_semi")
 
     def learned(pdf: pd.DataFrame) -> pd.DataFrame:
         model = learn(sorted(map(utf8, pdf["text"])))
@@ -189,7 +190,7 @@ def predict(docs: DataFrame, models: dict[str, Model], keep: tuple[str, ...] = (
             yield extended(part, passed, lang_pred=pa.array(lang, pa.string()), score=pa.array(score, pa.float64()), bits_per_byte=pa.array(rate, pa.float64()))
 
     schema = ", ".join(f"`{c}` {types[c]}" for c in passed) + ", lang_pred string, score double, bits_per_byte double"
-    return rows.mapInArrow(run, schema)
+    return bounded(rows).mapInArrow(tidy(run), schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import extended, sliced, utf8
+from lectern.llm.common import bounded, extended, sliced, tidy, utf8
 
 #: The base patterns and the least length of their match or, for assign, of group 2.
 BASE = (
@@ -40,7 +40,7 @@ CLEAN_SHARE = 16
 DOC_WINDOWS = 4
 WINDOW = 24
 ROUNDS = 60
-WORD_TABLE = 400_000
+WORD_TABLE = 250_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _HINT = re.compile(rb"passw|pwd|secret|token|key|auth|bearer|credential|akia")
@@ -301,7 +301,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field | None:
     share = min(1.0, sample_docs / max(1, total))
     h = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 40))
     picked = docs.select("doc_id", "text", h.alias("h")).where(F.col("text").isNotNull() & (F.col("h") < int(share * (1 << 40))))
-    rows = picked.mapInPandas(_windows, "doc_id long, start int, words array<string>, tags array<int>, kind int").collect()
+    rows = bounded(picked).mapInPandas(_windows, "doc_id long, start int, words array<string>, tags array<int>, kind int").collect()
     rows.sort(key=lambda r: (r.doc_id is None, r.doc_id, r.start, r.words))
     windows = [(r.words, r.tags, r.kind) for r in rows if r.words]
     return train(windows) if any(t != O for _, tags, _ in windows for t in tags) else None
@@ -340,7 +340,7 @@ def find_secrets(docs: DataFrame, field: Field | None = None) -> DataFrame:
             yield extended(part, ["doc_id"], spans=pa.array(rows, kind))
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
+    return bounded(docs).mapInArrow(tidy(run), "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.bpe import Codec, read_ranks
-from lectern.llm.common import extended, sliced
+from lectern.llm.bpe import cut, read_ranks
+from lectern.llm.common import bounded, extended, sliced, tidy
 
 #: Units whose counts a worker keeps before it empties its table.
-UNIT_TABLE = 500_000
+UNIT_TABLE = 300_000
 
 _counters: dict[tuple[str, str], Counter] = {}
 
@@ -84,13 +84,23 @@ class Counter:
         """(pre-tokens, tokens) of each text."""
         if len(self.units) > UNIT_TABLE:
             self.units.clear()
-        cut = [Codec.cut(t) if t else [] for t in texts]
-        fresh = {u: [m.encode() for m in self.find(u)] for u in {u for c in cut for u in c if u not in self.units}}
-        known = self.terminal_counts([m for parts in fresh.values() for m in parts])
-        for u, parts in fresh.items():
-            self.units[u] = len(parts), sum(map(known.__getitem__, parts))
-        pairs = [list(map(self.units.__getitem__, c)) for c in cut]
-        return [(sum(a for a, _ in p), sum(b for _, b in p)) for p in pairs]
+        parts = [cut(t) if t else [""] for t in texts]
+        fresh = {" " + p for c in parts for p in c[1:] if p not in self.units}
+        split = {u: [m.encode() for m in self.find(u)] for u in fresh.union(c[0] for c in parts)}
+        known = self.terminal_counts([m for own in split.values() for m in own])
+        counts = {u: (len(own), sum(map(known.__getitem__, own))) for u, own in split.items()}
+        for u in fresh:
+            self.units[u[1:]] = counts[u]
+        out = []
+        for c in parts:
+            own = [counts[c[0]], *map(self.units.__getitem__, c[1:])]
+            out.append((sum(a for a, _ in own), sum(b for _, b in own)))
+        return out
+
+
+def _drop() -> None:
+    for counter in _counters.values():
+        counter.units.clear()
 
 
 def count_tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -107,4 +117,4 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             yield extended(part, ["doc_id"], n_pretokens=pa.array([a for a, _ in got], pa.int64()), n_tokens=pa.array([b for _, b in got], pa.int64()))
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
+    return bounded(docs).mapInArrow(tidy(run, _drop), "doc_id long, n_pretokens long, n_tokens long")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import rangecoder
-from lectern.llm.common import slices, utf8
+from lectern.llm.common import bounded, slices, tidy, utf8
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -35,13 +35,18 @@ MAGIC = b"LTF1"
 FRAME_IDS = 1 << 20
 #: Ids that a worker holds before it codes them.
 HELD_IDS = rangecoder.BLOCK * rangecoder.LANES
-PIECE_TABLE = 400_000
+PIECE_TABLE = 250_000
 #: Bytes of input files for each partition of ids.
 PARTITION_BYTES = 16 << 20
 
 _tokenizers: dict[str, tuple] = {}
 
 
+def _drop() -> None:
+    for _, table, _ in _tokenizers.values():
+        table.clear()
+
+
 class CorruptBlock(ValueError):
     """A block's ids don't match its checksum."""
 
@@ -171,7 +176,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end: int | None = 1,
     cores = rows.sparkSession.sparkContext.defaultParallelism
     parts = max(cores, min(100_000, -(-size // PARTITION_BYTES)))
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(run, "part int, frame int, n_docs long, n_ids long, data binary").write.parquet(path)
+    bounded(rows).mapInArrow(tidy(run, _drop), "part int, frame int, n_docs long, n_ids long, data binary").write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -199,7 +204,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(at, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
                 a = z
 
-    return frames.select("part", "frame", "n_ids", "data").join(first, ["part", "frame"]).select("n_ids", "base", "data").mapInArrow(run, "doc_id long, start long, ids binary")
+    return frames.select("part", "frame", "n_ids", "data").join(first, ["part", "frame"]).select("n_ids", "base", "data").mapInArrow(tidy(run), "doc_id long, start long, ids binary")
 
 
 def digest(read_back: DataFrame) -> DataFrame:

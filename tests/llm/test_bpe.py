@@ -46,3 +46,11 @@ def test_table(spark):
     assert by[2, 0].ids_sha256 == hashlib.sha256(b"").hexdigest() == by[None, 0].decoded_sha256
     assert by[1, len(EXACT.encode_ordinary("Hello world"))].decoded_sha256 == hashlib.sha256(b"Hello world").hexdigest()
     assert bpe.encode_decode_digest(docs.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_one_pass_is_encode_then_decode(spark):
+    docs = spark.createDataFrame([(1, "some text  here"), (2, None), (3, "é\n")], "doc_id long, text string")
+    two = bpe.decode(bpe.encode(docs, PATH, P.PATTERN), PATH, P.PATTERN).collect()
+    assert sorted(two) == sorted(bpe.encode_decode(docs, PATH, P.PATTERN).collect())
+    spans = bpe.encode(docs, PATH, P.PATTERN, offsets=True).where("doc_id = 3").first().offsets
+    assert [(s.start, s.end) for s in spans] == CODEC.offsets("é\n")
