@@ -91,6 +91,13 @@ def overlay(inventory: DataFrame, supplied: DataFrame) -> DataFrame:
     return j.withColumn("domain", F.coalesce("given", "domain")).withColumn("provenance", F.when(F.col("given").isNotNull(), "user-supplied").otherwise(F.col("provenance"))).drop("name", "given")
 
 
+def illegal_domains(supplied: DataFrame) -> DataFrame:
+    """symbol, domain, nearest of a reader's domains that are none; nearest by edits, null if more than two in five letters differ."""
+    bad = supplied.where(~F.col("symbol").startswith("_") & (F.coalesce("domain", F.lit("")) != "") & ~F.col("domain").isin(*DOMAINS))
+    near = F.array_min(F.array(*[F.struct(F.levenshtein("domain", F.lit(d)).alias("edits"), F.lit(d).alias("name")) for d in DOMAINS]))
+    return bad.select("symbol", "domain", F.when(near["edits"] <= 0.4 * F.length("domain"), near["name"]).alias("nearest"))
+
+
 def condition_status(conditions: DataFrame, inventory: DataFrame) -> DataFrame:
     """Conditions (doc, step_id, kind, expr) with status established, unstated or undetermined.
 

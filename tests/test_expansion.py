@@ -96,3 +96,8 @@ def test_macros():
     assert known["R"] == (0, r"\mathbb{R}") and known["tr"] == (0, r"\operatorname{tr}")
     assert S.expand(r"\norm{\R x} \E\tr \Rest", known) == (r"\|\mathbb{R} x\| \mathbb{E}\operatorname{tr} \Rest", [])
     assert S.expand(r"\a", {"a": (0, r"\a")})[1] == ["a"]
+
+
+def test_illegal_domains(spark):
+    df = spark.createDataFrame([("x", "unit_interval"), ("y", "zzz"), ("z", "real"), ("_n", "bad"), ("w", "")], "symbol string, domain string")
+    assert {(r.symbol, r.nearest) for r in S.illegal_domains(df).collect()} == {("x", "unit-interval"), ("y", None)}
