@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.session import materialise
+from lectern.session import drop_scratch, materialise, written
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 40) -> DataFrame:
@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     component_id is the smallest id reachable. Alternating large-star and
     small-star rounds (Kiveris et al., 2014): each round is aggregations and
     equi-joins over the edge table only, a hub's neighbours are pre-aggregated
-    to one minimum, and the edge table is written out after each round.
+    to one minimum, and the edge table is written out after each round, when the
+    one before goes.
     Null ends and self edges are ignored; repeated edges count once; an empty
     table gives an empty result.
     """
@@ -24,7 +25,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    e = materialise(e, "edges")
+    e, path = written(e, "edges")
     before = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -37,7 +38,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             .unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
             .distinct()
         )
-        e = materialise(e, "edges")
+        last, (e, path) = path, written(e, "edges")
+        drop_scratch(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

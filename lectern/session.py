@@ -58,9 +58,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     This cuts the lineage: a lost executor costs the rereading of files, never
     a recomputation of what led to them.
     """
+    return written(df, label)[0]
+
+
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """What materialise() returns, and its path for drop_scratch()."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def drop_scratch(df_path: str) -> None:
