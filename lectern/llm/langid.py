@@ -26,6 +26,7 @@ ORDER = 3
 #: Bounds of the learning sample: texts of a language, and bytes of a text that may be one of them.
 SAMPLE_TEXTS = 300
 SAMPLE_BYTES = 65_536
+SHARES = 64
 #: Bits for a byte, under the best language, from which a text counts as no language.
 MOST_BITS = 9.0
 PIECE = 1 << 20
@@ -81,8 +82,8 @@ class Scorer:
     def _reset(self) -> None:
         self.pair = np.full(1 << 16, -1, np.int32)
         self.pairs = 0
-        self.at = np.full(PAIRS * PAIRS, -1, np.int32)
-        self.rows = np.empty((0, len(self.models)))
+        self.at = np.zeros(PAIRS * PAIRS, np.int32)  # rows from 1; untouched pages take no memory
+        self.rows = np.zeros((1, len(self.models)))
 
     def _prices(self, grams: np.ndarray) -> np.ndarray:
         """Row of prices for each gram, by a table over pairs of byte pairs."""
@@ -100,7 +101,7 @@ class Scorer:
         self.pairs += len(new)
         cell = self.pair[high] * np.int32(PAIRS) + self.pair[low]
         row = self.at[cell]
-        lacking = row < 0
+        lacking = row == 0
         if lacking.any():
             cells, first = np.unique(cell[lacking], return_index=True)
             fresh = grams[lacking][first]
@@ -147,8 +148,12 @@ def fit(docs: DataFrame, texts: int = SAMPLE_TEXTS, most_bytes: int = SAMPLE_BYT
     than most_bytes bytes don't count.
     """
     known = docs.where((_remainder() != 2) & F.col("lang").isNotNull() & (F.octet_length("text") <= most_bytes) & (F.octet_length("text") > 0))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= texts).select("doc_id", "lang")
+    # first within shares of a language, so that no task ranks more than its share of a common one
+    ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    for share in (["lang", F.pmod("h", F.lit(SHARES))], ["lang"]):
+        order = Window.partitionBy(*share).orderBy("h", "doc_id")
+        ids = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= texts).drop("r")
+    ids = ids.select("doc_id", "lang")
     # `texts` ids of each language, and as many models come to the driver anyway
     sample = known.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), ["doc_id", "lang"], "left_semi")
 
