@@ -25,11 +25,26 @@ U = np.uint64
 
 
 def bounded(texts: DataFrame) -> DataFrame:
-    """The same table; the session's Arrow batches come down to BATCH_ROWS rows if they are larger."""
+    """The same rows; the session's Arrow batches come down to BATCH_ROWS rows if they are larger.
+
+    Input of fewer bytes than make a file partition for each core is dealt out
+    to all cores, for a text's work outweighs its move.
+    """
     key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", texts.sparkSession.conf
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
         conf.set(key, str(BATCH_ROWS))
-    return texts
+    leaves = texts._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    cores, part = texts.sparkSession.sparkContext.defaultParallelism, _bytes(conf.get("spark.sql.files.maxPartitionBytes"))
+    return texts.repartition(cores) if size < (cores - 1) * part else texts
+
+
+def _bytes(setting: str) -> int:
+    """134217728, 134217728b and 128m alike."""
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    text = setting.strip().lower().removesuffix("ib")
+    text = text[:-1] if len(text) > 1 and text[-1] == "b" and text[-2] in "kmg" else text
+    return int(text) if text.isdigit() else int(text[:-1]) * units[text[-1]]
 
 
 def tidy(run: Callable, drop: Callable[[], None] = lambda: None) -> Callable:
