@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Words kept in a worker's word table before it is emptied.
 WORD_TABLE = 200_000
@@ -24,15 +24,21 @@ _words: dict[bytes, int] = {}
 U = np.uint64
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bring the session's Arrow batches down to BATCH_ROWS rows if they are larger."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+
 def bounded(texts: DataFrame) -> DataFrame:
-    """The same rows; the session's Arrow batches come down to BATCH_ROWS rows if they are larger.
+    """The same rows in any order, in small_batches().
 
     Input of fewer bytes than make a file partition for each core is dealt out
     to all cores, for a text's work outweighs its move.
     """
-    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", texts.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    small_batches(texts.sparkSession)
+    conf = texts.sparkSession.conf
     leaves = texts._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
     cores, part = texts.sparkSession.sparkContext.defaultParallelism, _bytes(conf.get("spark.sql.files.maxPartitionBytes"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import rangecoder
-from lectern.llm.common import bounded, slices, tidy, utf8
+from lectern.llm.common import slices, small_batches, tidy, utf8
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -176,7 +176,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end: int | None = 1,
     cores = rows.sparkSession.sparkContext.defaultParallelism
     parts = max(cores, min(100_000, -(-size // PARTITION_BYTES)))
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    bounded(rows).mapInArrow(tidy(run, _drop), "part int, frame int, n_docs long, n_ids long, data binary").write.parquet(path)
+    small_batches(rows.sparkSession)  # bounded() may deal the rows out anew, out of order
+    rows.mapInArrow(tidy(run, _drop), "part int, frame int, n_docs long, n_ids long, data binary").write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

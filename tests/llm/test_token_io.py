@@ -62,3 +62,16 @@ def test_table(spark):
     path = scratch_path(spark, "test-ids")
     token_io.write(docs.limit(0), path, PATH)
     assert token_io.digest(token_io.read(spark, path)).count() == 0
+
+
+def test_small_files_come_in_order(spark):
+    docs, path = scratch_path(spark, "test-docs"), scratch_path(spark, "test-ids")
+    spark.range(3000).selectExpr("id * 7919 % 3000 AS doc_id", "repeat('word ', int(id % 5)) AS text").write.parquet(docs)
+    token_io.write(spark.read.parquet(docs), path, PATH, frame_ids=500)
+    at = 0
+    for k, r in enumerate(token_io.digest(token_io.read(spark, path)).orderBy("doc_id").collect()):
+        assert (r.doc_id, r.start) == (k, at)
+        at += r.n_tokens
+    for r in spark.read.parquet(path).collect():
+        ids = [d for own, _ in token_io.unpack_frames([bytes(r.data)]) for d in own]
+        assert ids == list(range(ids[0], ids[0] + r.n_docs))
