@@ -39,12 +39,11 @@ def ledger_findings(spark, sf_dir):
 
 
 def greedy_angles(spark, sf_dir):
-    """Diverse phrases of every document."""
+    """Diverse phrases of every document, picked from all of its phrases, the most frequent first."""
     each = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.phrases("text", (3, 2))).alias("pos", "phrase"))
-    top = each.groupBy("doc_id", "phrase").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    found = each.groupBy("doc_id", "phrase").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")
-    top = top.withColumn("place", F.row_number().over(w)).where("place <= 40")  # the pick looks at the 40 most frequent
-    return greedy.greedy_angles(top, "doc_id", "phrase", "place", 8)
+    return greedy.greedy_angles(found.withColumn("place", F.row_number().over(w)), "doc_id", "phrase", "place", 8)
 
 
 def fuzzy_ratio(spark, sf_dir):

@@ -7,6 +7,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
+from lectern import catalogue
 from lectern.operators import graph, greedy, joins, merge, scoring, sequences
 from lectern.sources import files, payloads
 from lectern.streaming.breaker import breaker_stream
@@ -142,3 +143,12 @@ def test_stream(spark, tmp_path):
     q = breaker_stream(stream).writeStream.format("memory").queryName("hosts").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r.host, r.attempts, r.refused, r.open) for r in spark.table("hosts").collect()} == {("h", 4, 1, True), ("g", 3, 0, False)}
+
+
+def test_angles_come_from_all_phrases(spark, tmp_path):
+    pairs = [f"{a}{b} {b}{a}" for a in ("red", "green", "blue", "white", "black", "brown", "grey") for b in ("cat", "dog", "hen", "cow", "pig", "bee", "ant")]
+    triples = ["sparse attention maps", "graph kernel pruning", "convex loss surfaces", "token budget planning", "proof search trees"]
+    text = " the ".join([*pairs, *pairs, *triples])
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.queries()["greedy_angles"](spark, str(tmp_path)).orderBy("rank").collect()
+    assert [r.angle for r in got] == [*triples, "sparse attention", "graph kernel", "convex loss"]
