@@ -21,6 +21,8 @@ TEX = r"""
 \begin{theorem}\label{thm:b} If $n \ge 1$, then $a_n \le 2$, see Lemma~\ref{lem:a}. \end{theorem}
 \begin{proof}[Proof of Theorem~\ref{thm:b}] By induction on $n$. Clearly $a_n \le 2$ by \ref{lem:zz}. \end{proof}
 """
+#: Words in a row that a document shares with a passage before the two are compared.
+RUN = 4
 
 
 def bib_parse(spark, sf_dir):
@@ -47,10 +49,34 @@ def greedy_angles(spark, sf_dir):
 
 
 def fuzzy_ratio(spark, sf_dir):
-    """Restatements among the turns of each conversation."""
-    c = read(spark, sf_dir, "conversations")
-    claims = c.select(F.col("conv_id").cast("string").alias("doc"), F.col("turn").alias("ord"), F.col("turn").cast("string").alias("id"), F.col("role").alias("kind"), F.lit(None).cast("string").alias("label"), F.col("text").alias("statement"), F.col("text").alias("conclusion"), F.lit(False).alias("explicit"))
-    return greedy.restatements(claims).withColumn("ratio", F.round("ratio", 6))
+    """Benchmark passages that documents restate: for each pair the stretch of the document that is most alike.
+
+    Blocked: a stretch of as many words as the passage is compared where it
+    shares RUN words in a row with the passage, or a shorter passage as a whole.
+    """
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    texts = read(spark, sf_dir, "documents").select("doc_id", F.xxhash64("text").alias("fp"), "text")
+    passages = read(spark, sf_dir, "benchmark").select("item_id", words.alias("p")).where("size(p) > 0").withColumn("n", F.least(F.size("p"), F.lit(RUN)))
+    docs = texts.select("doc_id", "fp", words.alias("w"))
+    sizes = F.broadcast(passages.agg(F.sort_array(F.collect_set("n")).alias("sizes")))  # one row of RUN sizes at most
+
+    def runs(of, n):
+        at = F.when(F.size(of) >= n, F.sequence(F.lit(0), F.size(of) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.array_join(F.slice(of, i + 1, n), " ")).alias("run")))
+
+    ours = passages.select("item_id", "p", F.explode(runs(F.col("p"), F.col("n"))).alias("a"))
+    theirs = docs.crossJoin(sizes).select("doc_id", "fp", F.explode(F.flatten(F.transform("sizes", lambda n: runs(F.col("w"), n)))).alias("b"))
+    met = theirs.join(ours, F.col("a.run") == F.col("b.run")).select("doc_id", "fp", "item_id", "p", (F.col("b.at") - F.col("a.at")).alias("start")).distinct()
+    # a start before the document's first word leaves the passage's first words without a counterpart
+    first = F.greatest("start", F.lit(0))
+    stretch = F.array_join(F.slice(words, first + 1, F.col("start") + F.size("p") - first), " ")
+    pairs = met.join(texts, (met["doc_id"].eqNullSafe(texts["doc_id"])) & (met["fp"] == texts["fp"])).select(met["doc_id"], "item_id", first.alias("start"), F.array_join("p", " ").alias("passage"), stretch.alias("stretch"))
+    pairs = pairs.distinct().withColumn("doc", F.to_json(F.struct("doc_id", "item_id", "start", F.xxhash64("passage", "stretch").alias("h"))))
+    sides = F.array(F.struct(F.lit(0).alias("ord"), F.col("item_id").cast("string").alias("id"), F.col("passage").alias("text")), F.struct(F.lit(1).alias("ord"), F.col("start").cast("string").alias("id"), F.col("stretch").alias("text")))
+    claims = pairs.select("doc", F.inline(sides)).select("doc", "ord", "id", F.lit("passage").alias("kind"), F.lit(None).cast("string").alias("label"), F.col("text").alias("statement"), F.col("text").alias("conclusion"), F.lit(False).alias("explicit"))
+    found = greedy.restatements(claims).withColumn("doc", F.get_json_object("doc", "$.doc_id"))
+    best = found.groupBy("doc", "duplicate_of").agg(F.max_by(F.struct("id", "by", "ratio"), F.struct("ratio", -F.col("id").cast("long"))).alias("best"))
+    return best.select("doc", "best.id", "duplicate_of", "best.by", F.round("best.ratio", 6).alias("ratio"))
 
 
 def rational_check(spark, sf_dir):

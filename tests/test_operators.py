@@ -152,3 +152,30 @@ def test_angles_come_from_all_phrases(spark, tmp_path):
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = catalogue.queries()["greedy_angles"](spark, str(tmp_path)).orderBy("rank").collect()
     assert [r.angle for r in got] == [*triples, "sparse attention", "graph kernel", "convex loss"]
+
+
+def test_documents_restate_passages(spark, tmp_path):
+    passage = "We show that sparse maps of attention keep their rank under every smooth change of the basis."
+    bench = [(1, passage), (2, "No document has this passage in any form at all."), (3, "Three short words")]
+    docs = [
+        (10, f"Before it come\nsome words. {passage.replace(' of the', chr(10) + 'of the')} After it others."),
+        (11, "Other words. " + passage.replace("smooth", "smoother") + " More of them."),
+        (12, passage[8:] + " The first words are cut off."),
+        (13, "Wholly unlike, with three words in a row: keep their rank, and nothing else."),
+        (14, "There are Three short words here."),
+        (15, None),
+    ]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc, r.duplicate_of): (r.id, r.ratio) for r in catalogue.queries()["fuzzy_ratio"](spark, str(tmp_path)).collect()}
+    assert set(got) == {("10", "1"), ("11", "1"), ("12", "1"), ("14", "3")}
+    assert got["10", "1"] == ("5", 1.0) and got["14", "3"] == ("2", 1.0)
+    assert 0.9 <= got["11", "1"][1] < 1 and 0.9 <= got["12", "1"][1] < 1
+
+
+def test_planted_passages_are_found(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    planted = docs.join(bench, F.contains(docs["text"], bench["text"])).select("doc_id", "item_id").collect()
+    got = {(int(r.doc), int(r.duplicate_of)): r.ratio for r in catalogue.queries()["fuzzy_ratio"](spark, sf).collect()}
+    assert planted and all(got[r.doc_id, r.item_id] > 0.99 for r in planted)  # marks may touch a passage's last word
