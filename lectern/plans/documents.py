@@ -92,6 +92,55 @@ SELECT s.source, coalesce(l.n, 0) AS n_new, l.n IS NULL AS empty_seed FROM (SELE
 """
 
 
+def documents_less_benchmark(spark, sf_dir):
+    """New keys of each source: those of all its documents, whatever their language, that no benchmark passage has."""
+    keyed = read(spark, sf_dir, "documents").select("source", F.md5(X.norm_title("text")).alias("key"))
+    known = read(spark, sf_dir, "benchmark").select(F.md5(X.norm_title("text")).alias("key")).distinct()
+    left = keyed.join(known, "key", "left_anti").groupBy("source").agg(F.count_distinct("key").alias("n_new")).where("n_new > 0")
+    seeds = keyed.select("source").distinct()
+    found = seeds.join(left, seeds["source"].eqNullSafe(left["source"]), "left")
+    return found.select(seeds["source"], F.coalesce("n_new", F.lit(0)).cast("long").alias("n_new"), F.col("n_new").isNull().alias("empty_seed"))
+
+
+DOCUMENTS_LESS_BENCHMARK = f"""
+WITH k AS (SELECT source, md5({NORM.format('text')}) AS key FROM documents),
+b AS (SELECT md5({NORM.format('text')}) AS key FROM benchmark),
+l AS (SELECT source, count(DISTINCT key) AS n FROM k WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.key = k.key) GROUP BY source HAVING count(DISTINCT key) > 0)
+SELECT s.source, coalesce(l.n, 0) AS n_new, l.n IS NULL AS empty_seed FROM (SELECT DISTINCT source FROM k) s LEFT JOIN l ON s.source IS NOT DISTINCT FROM l.source
+"""
+
+
+def engines_upsert(spark, sf_dir):
+    """Keyed upsert of documents, pages and benchmark as three engines in this order."""
+    docs, pages, bench = (read(spark, sf_dir, t) for t in ("documents", "pages", "benchmark"))
+
+    def hits(rows: DataFrame, engine: int, path: str, text: str, own: str, cites: Column, refs: Column) -> DataFrame:
+        return rows.select(
+            F.md5(X.norm_title(text)).alias("key"), F.struct(F.lit(engine).alias("engine"), F.col(own).alias("id")).alias("seq"),
+            F.lit(path).alias("path"), F.col(own).alias("id"), cites.cast("long").alias("cites"), refs.alias("refs"),
+        )
+
+    none = F.array().cast("array<string>")
+    found = hits(docs, 0, "documents", "text", "doc_id", F.col("n_chars"), F.array("source", "lang"))
+    found = found.unionByName(hits(pages, 1, "pages", "html", "page_id", F.lit(None), F.array("url")))
+    found = found.unionByName(hits(bench, 2, "benchmark", "text", "item_id", F.lit(None), none))
+    out = merge.keyed_upsert(found.withColumn("engine", F.col("path")), "key", "seq", ["engine", "id"], "cites", "path", "refs")
+    return out.select("key", "engine", "id", "cites", F.array_join("refs", ",").alias("refs"), F.array_join("paths", ",").alias("paths"))
+
+
+ENGINES_UPSERT = f"""
+WITH h AS (
+  SELECT md5({NORM.format('text')}) AS key, 0 AS e, 'documents' AS engine, doc_id AS id, n_chars AS cites, [source, lang] AS refs FROM documents
+  UNION ALL SELECT md5({NORM.format('html')}), 1, 'pages', page_id, NULL, [url] FROM pages
+  UNION ALL SELECT md5({NORM.format('text')}), 2, 'benchmark', item_id, NULL, [] FROM benchmark),
+a AS (SELECT key, engine, id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY e, id) AS n FROM h WHERE key IS NOT NULL) WHERE n = 1),
+c AS (SELECT key, max(cites) AS cites FROM h GROUP BY key),
+r AS (SELECT key, string_agg(v, ',' ORDER BY v) AS refs FROM (SELECT DISTINCT key, unnest(refs) AS v FROM h) GROUP BY key),
+p AS (SELECT key, string_agg(engine, ',' ORDER BY e) AS paths FROM (SELECT DISTINCT key, e, engine FROM h) GROUP BY key)
+SELECT key, engine, id, cites, coalesce(refs, '') AS refs, paths FROM a JOIN c USING (key) LEFT JOIN r USING (key) JOIN p USING (key)
+"""
+
+
 def median_impute_score(spark, sf_dir):
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").select("doc_id", "quality")
     known = docs.join(labels, "doc_id", "left").withColumn("cites", F.when(F.col("quality").isNotNull(), F.col("n_chars")))
@@ -372,7 +421,7 @@ QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
         (ranked_sweep, RANKED_SWEEP), (norm_key_docs, NORM_KEY_DOCS), (dedupe_by_key, DEDUPE_BY_KEY), (keyed_upsert, KEYED_UPSERT),
-        (source_union_except, SOURCE_UNION_EXCEPT), (median_impute_score, MEDIAN_IMPUTE_SCORE), (grade_ladder, GRADE_LADDER), (ngram_phrases, NGRAM_PHRASES),
+        (source_union_except, SOURCE_UNION_EXCEPT), (documents_less_benchmark, DOCUMENTS_LESS_BENCHMARK), (engines_upsert, ENGINES_UPSERT), (median_impute_score, MEDIAN_IMPUTE_SCORE), (grade_ladder, GRADE_LADDER), (ngram_phrases, NGRAM_PHRASES),
         (sentence_first_match, SENTENCE_FIRST_MATCH), (parse_count, PARSE_COUNT), (coverage_histogram, COVERAGE_HISTOGRAM), (verdict_ladder, VERDICT_LADDER),
         (rule_engine, RULE_ENGINE), (structural_union, STRUCTURAL_UNION), (wilson_rule3, WILSON_RULE3), (content_hash_groups, CONTENT_HASH_GROUPS),
         (markup_filter, MARKUP_FILTER), (cite_extract, CITE_EXTRACT), (doi_route, DOI_ROUTE),

@@ -179,3 +179,15 @@ def test_planted_passages_are_found(spark):
     planted = docs.join(bench, F.contains(docs["text"], bench["text"])).select("doc_id", "item_id").collect()
     got = {(int(r.doc), int(r.duplicate_of)): r.ratio for r in catalogue.queries()["fuzzy_ratio"](spark, sf).collect()}
     assert planted and all(got[r.doc_id, r.item_id] > 0.99 for r in planted)  # marks may touch a passage's last word
+
+
+def test_all_documents_less_benchmark_and_three_engines(spark, tmp_path):
+    docs = [(1, "Alpha one", "es", "src0", 9), (2, "Beta two", None, "src0", 8), (3, "Gamma!", "en", "src1", 6)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "gamma"), (8, "Delta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(5, "http://x.y", "alpha ONE")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalogue.queries()["documents_less_benchmark"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == {("src0", 2, False), ("src1", 0, True)}
+    got = catalogue.queries()["engines_upsert"](spark, str(tmp_path)).collect()
+    want = {("documents", 1, 9, "documents,pages"), ("documents", 2, 8, "documents"), ("documents", 3, 6, "documents,benchmark"), ("benchmark", 8, None, "benchmark")}
+    assert {(r.engine, r.id, r.cites, r.paths) for r in got} == want
