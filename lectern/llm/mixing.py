@@ -1,15 +1,19 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Documents are counted by source and exact length. Each source's budget is
-filled from those counts: a share of every length, then a bounded knapsack over
-what the shares leave. Which documents of a length are taken follows a seeded
-hash; its leading bits cut every (source, length) into bins, so that a source
+filled from those counts: the same share of every length, rounded by a seed,
+then a bounded knapsack over what the shares leave. Which documents of a length
+are taken follows a seeded hash; its leading bits cut every (source, length) into bins, so that a source
 or length with a third of all documents is ranked by many tasks.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,44 +21,80 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
 MOST_COPIES = 2
-#: Words that the knapsack fills exactly, and items it takes on; both bound its memory.
-FILL_WORDS = 60_000
-FILL_ITEMS = 400
 
 
-def fit_counts(sizes: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each length to take so that their words come close to budget, never above."""
+def _draw(*parts: object) -> float:
+    """A number from 0 to 1, below 1, that follows from the parts."""
+    return xxhash.xxh3_64_intdigest("\x1f".join(map(repr, parts))) / 2**64
+
+
+def fit_counts(sizes: list[int], counts: list[int], budget: int, seed: object = 0) -> list[int]:
+    """How many documents of each length to take so that their words come close to budget, never above.
+
+    Every length gives budget / have of its documents, rounded up or down:
+    along the ascending lengths the shares are added up from a seeded start, and
+    each whole number that is passed takes one document more. So every stretch
+    of lengths gives its share but for less than one document, and what is
+    lacking or too much in all is less than the longest document. Documents too
+    much go, and a bounded knapsack over all documents not taken, in seeded
+    order, fills the rest; it ends as soon as the budget is met exactly. If it
+    can't be, which takes few lengths, the knapsack starts again from the shares
+    rounded down, and so finds the closest sum at or above them.
+    """
     have = sum(s * c for s, c in zip(sizes, counts, strict=True))
     if budget >= have:
         return list(counts)
-    take = [c * budget // have for c in counts]
-    rest = budget - sum(s * t for s, t in zip(sizes, take, strict=True))
-    order = sorted((i for i in range(len(sizes)) if sizes[i] > 0), key=lambda i: -sizes[i])
+    unit = math.gcd(*sizes)
+    sizes, budget, have = [s // unit for s in sizes], budget // unit, have // unit
+    order = sorted((i for i in range(len(sizes)) if sizes[i] > 0), key=sizes.__getitem__)
+    take = [0 if s > 0 else c for s, c in zip(sizes, counts, strict=True)]
+    start = int(_draw(seed, "start") * have)
+    passed, done = 0, 0
     for i in order:
-        if rest <= FILL_WORDS:
-            break
-        more = min(counts[i] - take[i], (rest - FILL_WORDS // 2) // sizes[i])
-        take[i] += max(0, more)
-        rest -= max(0, more) * sizes[i]
-    items: list[tuple[int, int]] = []  # (length's index, copies), by powers of two
-    for i in reversed(order):
-        left, k = min(counts[i] - take[i], rest // sizes[i]), 1
-        while left > 0 and len(items) < FILL_ITEMS:
-            items.append((i, min(k, left)))
-            left -= min(k, left)
-            k *= 2
-    within = (1 << (rest + 1)) - 1 if rest >= 0 else 0
-    reach = [1]
-    for i, k in items:
-        reach.append((reach[-1] | reach[-1] << sizes[i] * k) & within)
-    at = reach[-1].bit_length() - 1
-    for (i, k), before in zip(reversed(items), reversed(reach[:-1]), strict=True):
-        if not before >> at & 1:
-            take[i] += k
-            at -= sizes[i] * k
+        passed += counts[i] * budget
+        take[i] = (passed + start) // have - done
+        done += take[i]
+    rest = budget - sum(sizes[i] * take[i] for i in order)
+    up = [i for i in order if take[i] > counts[i] * budget // have]
+    while rest < 0:
+        # of the lengths that were rounded up the shortest that is long enough, or else the longest
+        i = up.pop(next((k for k, i in enumerate(up) if sizes[i] >= -rest), -1))
+        take[i] -= 1
+        rest += sizes[i]
+    take, rest = _filled(sizes, counts, take, rest, seed)
+    if rest:
+        down = [c if s == 0 else c * budget // have for s, c in zip(sizes, counts, strict=True)]
+        take, _ = _filled(sizes, counts, down, budget - sum(s * t for s, t in zip(sizes, down, strict=True)), seed)
     return take
 
 
+def _filled(sizes: list[int], counts: list[int], take: list[int], rest: int, seed: object) -> tuple[list[int], int]:
+    """take with others that make up `rest` words or the most below, and what is lacking."""
+    # by[w]: the item by which w words were first reached; the items before it reach w less its own words
+    by = np.full(rest + 1, -1, np.int32)
+    by[0] = 0
+    items: list[tuple[int, int]] = [(0, 0)]
+    for i in sorted((i for i in range(len(sizes)) if 0 < sizes[i] <= rest and counts[i] > take[i]), key=lambda i: _draw(seed, sizes[i])):
+        left, k = min(counts[i] - take[i], rest // sizes[i]), 1
+        while left > 0 and by[rest] < 0:
+            n = min(k, left)
+            left, k = left - n, 2 * k
+            words = n * sizes[i]
+            new = np.flatnonzero((by[: rest + 1 - words] >= 0) & (by[words:] < 0)) + words
+            by[new] = len(items)
+            items.append((i, n))
+        if by[rest] >= 0:
+            break
+    take = list(take)
+    at = int(np.flatnonzero(by >= 0)[-1])
+    lacking = rest - at
+    while at:
+        i, n = items[by[at]]
+        take[i] += n
+        at -= n * sizes[i]
+    return take, lacking
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST_COPIES) -> DataFrame:
     """source, source_size, target for a table (source, source_size) of one row a source.
 
@@ -75,12 +115,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total:
     return rows.select("source", "source_size", F.least(F.col("cap"), F.coalesce(level * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("size").reset_index(drop=True)
-    sizes, counts = pdf["size"].tolist(), pdf["n"].tolist()
-    take = fit_counts(sizes, [n * MOST_COPIES for n in counts], int(round(pdf["target"].iloc[0])))
-    base, more = zip(*[divmod(t, n) for t, n in zip(take, counts, strict=True)], strict=True)
-    return pd.DataFrame({"source": pdf["source"], "size": sizes, "base": base, "more": more})
+def _fit(seed: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("size").reset_index(drop=True)
+        sizes, counts = pdf["size"].tolist(), pdf["n"].tolist()
+        source = pdf["source"].iloc[0]
+        take = fit_counts(sizes, [n * MOST_COPIES for n in counts], int(round(pdf["target"].iloc[0])), (seed, None if pd.isna(source) else source))
+        base, more = zip(*[divmod(t, n) for t, n in zip(take, counts, strict=True)], strict=True)
+        return pd.DataFrame({"source": pdf["source"], "size": sizes, "base": base, "more": more})
+
+    return run
 
 
 def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -110,7 +154,7 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, tota
     plan = (
         counts.join(t, F.col("source").eqNullSafe(F.col("s")))
         .groupBy("source")
-        .applyInPandas(_fit, "source string, size long, base long, more long")
+        .applyInPandas(_fit(seed), "source string, size long, base long, more long")
         .withColumnsRenamed({"source": "s", "size": "z"})
     )
     before = Window.partitionBy("source", "size").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)

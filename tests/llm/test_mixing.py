@@ -2,6 +2,7 @@
 
 import itertools
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -40,6 +41,35 @@ def test_fill_is_as_close_as_subsets_allow_up_to_the_shares(counts, budget):
     assert words == max(x for x in sums if x <= budget)
 
 
+def test_every_stretch_of_lengths_gives_its_share():
+    rng = np.random.default_rng(6)
+    sizes, counts = (x.tolist() for x in np.unique(rng.lognormal(6, 1.3, 20_000).astype(int) + 1, return_counts=True))
+    words = np.array(sizes) * np.array(counts)
+    budget = int(words.sum() * 0.3)
+    for seed in (1, 2):
+        take = mixing.fit_counts(sizes, counts, budget, seed)
+        assert take == mixing.fit_counts(sizes, counts, budget, seed)
+        got = np.array(sizes) * np.array(take)
+        assert got.sum() == budget
+        tenth = np.minimum(9, (np.cumsum(words) - 1) * 10 // words.sum())
+        for k in range(10):
+            assert abs(got[tenth == k].sum() / budget - words[tenth == k].sum() / words.sum()) < 0.02
+    rare = [i for i, c in enumerate(counts) if c == 1]
+    assert mixing.fit_counts(sizes, counts, budget, 1) != mixing.fit_counts(sizes, counts, budget, 2)
+    assert abs(sum(take[i] for i in rare) / len(rare) - 0.3) < 0.05
+
+
+def test_lengths_with_a_common_factor():
+    take = mixing.fit_counts([10, 20, 1_000_000], [50, 50, 3], 1_000_777)
+    assert sum(s * t for s, t in zip([10, 20, 1_000_000], take, strict=True)) == 1_000_770
+
+
+def test_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 5, "o", "z", 9), (2, "c", None, 6, "p", "y", 8)], "doc_id long, text string, source string, bin int, order string, size string, copies int")
+    got = mixing.mix(docs, keep=tuple(docs.columns))
+    assert got.count() == 2 and {"bin", "order"} <= set(got.columns)
+
+
 def test_mix(spark):
     texts = [(i, "w " * (1 + i * 7 % 23), ["a", "b", "c", None][i % 4 if i % 3 else 0], "x") for i in range(400)]
     texts += [(900, None, "a", "x"), (901, "", None, "x"), (902, "same words", "b", "x"), (902, "same words", "b", "x"), (None, "no id", "c", "x"), (903, "long " * 300, "b", "x")]
