@@ -62,8 +62,14 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str =
     out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__th"]), "left")
     n = F.coalesce(F.size(_lines()), F.lit(0))
     removed = F.coalesce(F.size("__gone"), F.lit(0))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(_lines()) - 1), F.col("__gone"))
-    cleaned = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(_lines(), i)), "\n"))
+
+    def joined(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    # a variable of a lambda holds the lines, so that the text is split once and not for every line
+    left = F.transform(F.array(_lines()), joined)
+    cleaned = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.get(left, F.lit(0)))
     out = out.withColumns({"n_lines": n.cast("long"), "n_removed": removed.cast("long")}).withColumn("text", cleaned)
     return out.drop("__gone", "__id", "__th")
 
@@ -79,4 +85,5 @@ marked AS (SELECT l.*, s.line IS NOT NULL AND NOT (s.f.d = l.doc_id AND s.f.p =
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text,
   count(*) AS n_lines, count(*) FILTER (gone) AS n_removed
 FROM marked GROUP BY doc_id
+UNION ALL SELECT doc_id, text, 0, 0 FROM documents WHERE text IS NULL
 """
