@@ -8,9 +8,9 @@ elements needs about bins * ln(bins) / n rounds (Dahlgaard, Knudsen and Thorup,
 their sum concentrates as if they were independent.
 
 The stages: documents of equal shingle sets become one class; bands of equal
-coordinates link each class with its bucket's leader; links whose sketches
-agree too little go; what stays connects into candidate groups; within a group
-all pairs are compared on the full sets. A group larger than a task's bound is
+coordinates tie each class to its bucket's leader; those whose sketches agree
+too little with it are tied to a leader among themselves; ties connect into
+candidate groups; within a group all pairs are compared on the full sets. A group larger than a task's bound is
 cut by set size and hash into chunks, and every pair of chunks that can hold a
 link has a task of its own.
 """
@@ -32,10 +32,10 @@ from lectern.session import materialise
 
 BINS = 192
 ROWS = 6
-#: Share of equal coordinates below which a document isn't grouped with a bucket's leader.
-#: Links have a similarity of 0.8 or more; with a distance of up to 0.3 from leader to a
-#: linked document a document's own distance is 0.5 at most.
+#: Share of equal coordinates below which a document isn't grouped with a bucket's leader. It then waits for
+#: the next leader of those left in the bucket, LEADERS times at most, and is then grouped without this test.
 LOOSE = 0.5
+LEADERS = 3
 #: Shingles that one verification task takes on from a group.
 TASK_SHINGLES = 1_000_000
 
@@ -178,25 +178,27 @@ def near_duplicates(
     table = materialise(
         bounded(base).mapInArrow(tidy(_sketches(bins, rows, width), drop_words), "doc_id long, n_shingles long, fp binary, sketch binary, bands array<long>"), "sketches"
     )
-    classes = table.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    heads = materialise(
-        table.join(classes, "fp").where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "n_shingles", "sketch", "bands"), "heads"
-    )
+    # one row for each distinct set, so that a group of copies is brought down to one row before the shuffle
+    heads = table.where("fp is not null and doc_id is not null").groupBy("fp")
+    heads = heads.agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "sketch", "bands"), "doc_id").alias("h"))
+    heads = materialise(heads.select("fp", "rep", "h.*"), "heads")
 
-    key = heads.select("rep", F.explode("bands").alias("key"))
-    leaders = (
-        key.groupBy("key")
-        .agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep")).alias("m"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("key", F.col("m.rep").alias("leader"))
-    )
-    star = key.join(leaders, "key").where("rep <> leader").select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct()
     sk = heads.select("rep", "sketch")
-    star = star.join(sk.withColumnsRenamed({"rep": "a", "sketch": "sa"}), "a").join(sk.withColumnsRenamed({"rep": "b", "sketch": "sb"}), "b")
-    star = star.where(_agreement(bins)("sa", "sb") >= loose).select("a", "b")
+    waiting, ties = heads.select("rep", F.explode("bands").alias("key")).distinct(), None
+    for trial in range(LEADERS):
+        star = materialise(_stars(waiting), f"stars-{trial}")
+        pairs = star.select("rep", "leader").distinct()
+        pairs = pairs.join(sk, "rep").join(sk.withColumnsRenamed({"rep": "leader", "sketch": "other"}), "leader")
+        close = materialise(pairs.where(_agreement(bins)("sketch", "other") >= loose).select("rep", "leader").distinct(), f"ties-{trial}")
+        ties = close if ties is None else ties.unionByName(close)
+        waiting = star.join(close, ["rep", "leader"], "left_anti").select("rep", "key")
+        if waiting.isEmpty():
+            break
+    # what agrees with no leader so far stays together, whatever its sketches say, and is left to the exact comparison
+    star = ties.unionByName(_stars(waiting).select("rep", "leader")).select(F.col("rep").alias("a"), F.col("leader").alias("b"))
     groups = materialise(connected_components(star, "a", "b").withColumnsRenamed({"id": "rep", "component_id": "grp"}), "groups")
 
-    sized = groups.join(heads.select("rep", "n_shingles"), "rep").withColumn("s", _size_class(num, den))
+    sized = groups.join(heads.select("rep", "n_shingles").distinct(), "rep").withColumn("s", _size_class(num, den))
     cells = sized.groupBy("grp", "s").agg(F.sum("n_shingles").alias("total"))
     whole = cells.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("s", F.ceil(F.col("total") / task_shingles).cast("int")))).alias("cuts"), F.sum("total").alias("total"))
     placed = sized.join(whole, "grp")
@@ -220,9 +222,20 @@ def near_duplicates(
     )
     comp = connected_components(materialise(links, "links"))
 
-    out = table.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.coalesce("component_id", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    # labels by set, written, so that the last join is one of two tables and its hot keys can be dealt out
+    labels = heads.select("fp", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
+    labels = materialise(labels.select("fp", F.coalesce("component_id", "rep").alias("label")), "labels")
+    rows = table.select("doc_id", "n_shingles", "fp")
+    linked = F.col("fp").isNotNull() & F.col("doc_id").isNotNull()
+    out = rows.where(linked).join(labels, "fp").select("doc_id", "n_shingles", F.col("label").alias("component_id"))
+    out = out.unionByName(rows.where(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """rep, leader and key of rows (rep, key): a key's leader is that of its reps with the smallest hash."""
+    leaders = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep")).alias("m"), F.count("*").alias("n")).where("n > 1")
+    return rows.join(leaders.select("key", F.col("m.rep").alias("leader")), "key").where("rep <> leader").select("rep", "leader", "key")
 
 
 SQL = r"""

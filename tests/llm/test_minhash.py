@@ -51,6 +51,30 @@ def test_components(spark, task_shingles):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def templated(seed=8):
+    """Pairs of 0.86 to 0.9 in documents that share a template with all others, at about 0.45."""
+    rng, rows = random.Random(seed), []
+    template = [f"t{k}" for k in range(165)]
+    for _ in range(120):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        for k in range(2):
+            copy = template + own
+            if k:
+                for _ in range(5):
+                    copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            rows.append(" ".join(copy))
+    return list(enumerate(rows))
+
+
+def test_pairs_under_leaders_of_a_common_template(spark):
+    rows = templated()
+    want = plain(rows)
+    assert len({c for _, c in want.values()}) < 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(docs, width=3, num=85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
@@ -71,8 +95,12 @@ def test_shingles():
 def test_nulls_and_repeats(spark):
     big = (1 << 60) + 1
     rows = [(None, "a b c"), (big, "a b c d e"), (big, "a b c d e"), (5, "a b c d e"), (7, None)]
+    rows += [(9, "one two three four five six"), (9, "seven eight nine ten eleven twelve"), (12, "seven eight nine ten eleven twelve"), (13, "word " * 200_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = minhash.near_duplicates(docs).collect()
+    nines = sorted((r.doc_id, r.component_id) for r in got if r.doc_id in (9, 12, 13))
+    assert nines == [(9, 9), (9, 9), (12, 9), (13, 13)]
+    got = [r for r in got if r.doc_id not in (9, 12, 13)]
     by = sorted((r.doc_id or 0, r.component_id, r.kept) for r in got)
     assert by == [(0, None, False), (5, 5, True), (7, 7, True), (big, 5, False), (big, 5, False)]
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
