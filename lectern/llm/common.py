@@ -39,10 +39,14 @@ def bounded(texts: DataFrame) -> DataFrame:
     """
     small_batches(texts.sparkSession)
     conf = texts.sparkSession.conf
-    leaves = texts._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
     cores, part = texts.sparkSession.sparkContext.defaultParallelism, _bytes(conf.get("spark.sql.files.maxPartitionBytes"))
-    return texts.repartition(cores) if size < (cores - 1) * part else texts
+    return texts.repartition(cores) if input_bytes(texts) < (cores - 1) * part else texts
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that df reads, by Spark's statistics."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
 
 
 def _bytes(setting: str) -> int:

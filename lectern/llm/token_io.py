@@ -15,8 +15,11 @@ state; its checksum is compared at every reading.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -27,24 +30,152 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import rangecoder
-from lectern.llm.common import slices, small_batches, tidy, utf8
+from lectern.llm.bpe import byte_characters
+from lectern.llm.common import input_bytes, slices, small_batches, tidy, utf8
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MAGIC = b"LTF1"
-FRAME_IDS = 1 << 20
-#: Ids that a worker holds before it codes them.
-HELD_IDS = rangecoder.BLOCK * rangecoder.LANES
-PIECE_TABLE = 250_000
-#: Bytes of input files for each partition of ids.
-PARTITION_BYTES = 16 << 20
+#: Characters below are their own composed form, and so are all words of them.
+LATIN = 0x250
 
-_tokenizers: dict[str, tuple] = {}
+MAGIC = b"LTF2"
+#: Ids from which a frame is closed: a little less than a block, so that most frames are one.
+FRAME_IDS = rangecoder.BLOCK - (1 << 14)
+#: Ids that a worker holds before it codes them: as many strands of full blocks as advance together.
+HELD_IDS = FRAME_IDS * (rangecoder.LANES // rangecoder.STRANDS)
+#: Words and pre-tokens in a worker's tables before they are emptied.
+WORD_TABLE, PIECE_TABLE = 500_000, 500_000
+#: Bytes of input files for each partition of ids, and the number of partitions from which they grow instead. Memory
+#: is bounded by HELD_IDS and the sort's spilling, not by a partition's size.
+PARTITION_BYTES, MOST_PARTITIONS = 16 << 20, 100_000
+#: Bytes of a row group of frames, the least that a reading task takes on.
+GROUP_BYTES = 2 << 20
+
+_tokenizers: dict[str, Words] = {}
+
+
+class Words:
+    """Ids of words by a tokenizer file.
+
+    The file's normaliser and pre-tokenizer must not look beyond ASCII white
+    space: each distinct word is encoded once. Where the file's pre-tokenizer is
+    a pattern whose matches are encoded on their own, words of Latin letters are
+    cut by that pattern, and each distinct match goes to the library once. All
+    other words go to it whole.
+    """
+
+    SEPARATOR = b"\xff\xff\xff\xff"
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        normalizer = self.whole.normalizer
+        self.lower = normalizer is not None and normalizer.normalize_str("A") == "a"
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        self.cut = self._cutter(config)
+        if self.cut:
+            self._by_piece(config["model"])
+
+    @staticmethod
+    def _cutter(config: dict):
+        """All matches of the file's pattern in Latin text, and spaces; None for files of another make."""
+        kinds = [n["type"] for n in (config.get("normalizer") or {}).get("normalizers", [])]
+        steps = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        model = config["model"]
+        known = (
+            kinds == ["NFC", "Replace", "Lowercase"]
+            and [p["type"] for p in steps] == ["Split", "ByteLevel"]
+            and "Regex" in steps[0]["pattern"]
+            and (steps[0]["behavior"], steps[0]["invert"]) == ("Removed", True)
+            and not (steps[1]["add_prefix_space"] or steps[1]["use_regex"])
+            and model["type"] == "BPE"
+            and bool(model.get("end_of_word_suffix"))
+            and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+            and len(model["vocab"]) < 1 << 24  # no id has a byte of the separator in its last place
+        )
+        if not known:
+            return None
+        pattern = steps[0]["pattern"]["Regex"]
+        for name, category in (("L", "L"), ("N", "N")):
+            own = "".join(re.escape(chr(c)) for c in range(LATIN) if unicodedata.category(chr(c))[0] == category)
+            pattern = pattern.replace(f"[\\p{{{name}}}]", f"[{own}]").replace(f"\\p{{{name}}}", own)
+        return None if "\\p" in pattern else re.compile(f"{pattern}| ").findall
+
+    def _by_piece(self, model: dict) -> None:
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        suffix = model["end_of_word_suffix"]
+        self.bare = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=suffix, cache_capacity=0))
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+        self.letters = {b: c for b, c in enumerate(byte_characters())}
+        # control characters and odd spaces, and strings that the library takes for tokens of their own
+        special = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(["[\\x00-\\x1f\\x7f-\\xa0]", *special])).search
+
+    @classmethod
+    def of(cls, path: str) -> Words:
+        if path not in _tokenizers:
+            _tokenizers[path] = cls(path)
+        return _tokenizers[path]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids (uint32, little-endian) of each text."""
+        cut = [utf8(t).lower().split() if self.lower else utf8(t).split() for t in texts]
+        if len(self.words) > WORD_TABLE:
+            self.words.clear()
+        self._learn(set().union(*cut).difference(self.words))
+        return [b"".join(map(self.words.__getitem__, c)) for c in cut]
+
+    def _learn(self, fresh: set[bytes]) -> None:
+        """Put words into the table."""
+        odd: list[bytes] = []
+        if self.cut:
+            plain = [w for w in fresh if w.isascii()]
+            if self.special(b" ".join(plain).decode()):
+                plain = [w for w in plain if not self.special(w.decode())]
+            self.words.update(zip(plain, self._cut(b" ".join(plain).decode()), strict=True) if plain else ())
+            latin, spelt = [], []
+            for w in fresh.difference(plain):
+                text = w.decode().lower()
+                if max(text) < chr(LATIN) and not self.special(text):
+                    latin.append(w)
+                    spelt.append(text)
+                else:
+                    odd.append(w)
+            self.words.update(zip(latin, self._cut(" ".join(spelt)), strict=True) if latin else ())
+        else:
+            odd = list(fresh)
+        for w, e in zip(odd, self.whole.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False), strict=True):
+            self.words[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+
+    def _cut(self, words: str) -> list[bytes]:
+        """Ids of each of some words of Latin letters with spaces between them."""
+        pieces = self.cut(words)
+        if len(self.pieces) > PIECE_TABLE:
+            self.pieces.clear()
+        table = self.pieces
+        table[" "] = self.SEPARATOR
+        fresh = list(set(pieces).difference(table))
+        if fresh:
+            spelt = [p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode())) for p in fresh]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(spelt)], add_special_tokens=False)[0].ids, "<u4")
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            raw = ids.tobytes()
+            table.update(zip(fresh, [raw[a:z] for a, z in zip([0, *ends], ends, strict=False)], strict=True))
+        return b"".join(map(table.__getitem__, pieces)).split(self.SEPARATOR)
 
 
 def _drop() -> None:
-    for _, table, _ in _tokenizers.values():
-        table.clear()
+    """Forget words; pre-tokens, which are fewer and dearer, stay for the next task."""
+    for own in _tokenizers.values():
+        own.words.clear()
 
 
 class CorruptBlock(ValueError):
@@ -52,27 +183,9 @@ class CorruptBlock(ValueError):
 
 
 def tokenize(path: str, texts: list[str | None], end: int | None = None) -> list[bytes]:
-    """Ids (uint32, little-endian) of each text by the tokenizer file, without special tokens, then `end`.
-
-    The file's normaliser and pre-tokenizer must not look beyond ASCII white
-    space; texts are cut there and each distinct piece is encoded once. A-Z are
-    put in lower case first if the normaliser does so anyway.
-    """
-    if path not in _tokenizers:
-        from tokenizers import Tokenizer
-
-        own = Tokenizer.from_file(path)
-        lower = own.normalizer is not None and own.normalizer.normalize_str("A") == "a"
-        _tokenizers[path] = own, {}, lower
-    own, table, lower = _tokenizers[path]
-    if len(table) > PIECE_TABLE:
-        table.clear()
-    cut = [utf8(t).lower().split() if lower else utf8(t).split() for t in texts]
-    fresh = list({p for c in cut for p in c if p not in table})
-    for p, e in zip(fresh, own.encode_batch_fast([p.decode() for p in fresh], add_special_tokens=False), strict=True):
-        table[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+    """Ids (uint32, little-endian) of each text by the tokenizer file, without special tokens, then `end`."""
     last = b"" if end is None else struct.pack("<I", end)
-    return [b"".join(map(table.__getitem__, c)) + last for c in cut]
+    return [ids + last for ids in Words.of(path).encode(texts)]
 
 
 def pack_frames(doc_ids: list[int | None], ids: list[bytes], frame_ids: int = FRAME_IDS, block: int = rangecoder.BLOCK) -> list[tuple[int, int, bytes]]:
@@ -88,7 +201,7 @@ def pack_frames(doc_ids: list[int | None], ids: list[bytes], frame_ids: int = FR
     frames, blocks = [], []
     for a, z in zip(bounds, bounds[1:], strict=False):
         flat = np.frombuffer(b"".join(ids[a:z]), "<u4")
-        cut = [flat[i : i + block] for i in range(0, len(flat), block)]
+        cut = np.array_split(flat, -(-len(flat) // block)) if len(flat) else []
         frames.append((a, z, len(flat), len(cut)))
         blocks += cut
     coded = rangecoder.encode_blocks(blocks)
@@ -143,18 +256,19 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end: int | None = 1,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, frame = TaskContext.get().partitionId(), 0
+        part, frame, before = TaskContext.get().partitionId(), 0, 0
         keys: list = []
         held: list[bytes] = []
         size = 0
 
         def flush():
-            nonlocal frame
+            nonlocal frame, before
             packed = pack_frames(keys, held, frame_ids, block)
             for n, ids, data in packed:
-                arrays = [pa.array([part], pa.int32()), pa.array([frame], pa.int32()), pa.array([n], pa.int64()), pa.array([ids], pa.int64()), pa.array([data], pa.binary())]
+                arrays = [pa.array([part], pa.int32()), pa.array([frame], pa.int32()), pa.array([n], pa.int64()), pa.array([ids], pa.int64()), pa.array([before], pa.int64()), pa.array([data], pa.binary())]
                 frame += 1
-                yield pa.RecordBatch.from_arrays(arrays, ["part", "frame", "n_docs", "n_ids", "data"])
+                before += ids
+                yield pa.RecordBatch.from_arrays(arrays, ["part", "frame", "n_docs", "n_ids", "before", "data"])
 
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
@@ -172,23 +286,22 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end: int | None = 1,
             yield from flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    parts = max(cores, min(100_000, -(-size // PARTITION_BYTES)))
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, min(MOST_PARTITIONS, -(-input_bytes(rows) // PARTITION_BYTES)))
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     small_batches(rows.sparkSession)  # bounded() may deal the rows out anew, out of order
-    rows.mapInArrow(tidy(run, _drop), "part int, frame int, n_docs long, n_ids long, data binary").write.parquet(path)
+    frames = rows.mapInArrow(tidy(run, _drop), "part int, frame int, n_docs long, n_ids long, before long, data binary")
+    # row groups of a few frames, so that readers share a file
+    frames.write.option("parquet.block.size", GROUP_BYTES).option("parquet.page.size.row.check.min", 1).option("parquet.page.size.row.check.max", 1).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, ids of a dataset: start counts the ids of all documents before; ids is binary (uint32)."""
     frames = spark.read.parquet(path)
-    sizes = frames.select("part", "frame", "n_ids")
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    parts = frames.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    # one row for each of at most MOST_PARTITIONS partitions
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("part").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.join(parts, "part").select("part", "frame", (F.col("base") + F.coalesce(F.sum("n_ids").over(within), F.lit(0))).alias("base"))
+    rows = frames.select("part", "n_ids", "before", "data").join(F.broadcast(parts), "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +318,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(at, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
                 a = z
 
-    return frames.select("part", "frame", "n_ids", "data").join(first, ["part", "frame"]).select("n_ids", "base", "data").mapInArrow(tidy(run), "doc_id long, start long, ids binary")
+    return rows.select("n_ids", (F.col("base") + F.col("before")).alias("base"), "data").mapInArrow(tidy(run), "doc_id long, start long, ids binary")
 
 
 def digest(read_back: DataFrame) -> DataFrame:

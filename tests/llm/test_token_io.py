@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
@@ -29,13 +30,42 @@ def test_repeats_are_coded_in_few_bits():
     assert len(rangecoder.encode_blocks([x])[0]) * 8 < 2 * len(x)
 
 
-def test_ids_out_of_range():
+def test_too_long_a_block():
     with pytest.raises(ValueError):
-        rangecoder.encode_blocks([np.array([1 << 16], dtype="<u4")])
+        rangecoder.encode_blocks([np.zeros(rangecoder.BLOCK + 1, dtype="<u4")])
+
+
+def test_wide_ids_and_strands_come_back():
+    rng = np.random.default_rng(2)
+    blocks = [rng.integers(0, 1 << 32, 3000, dtype=np.uint64).astype("<u4"), rng.zipf(1.3, 9000).clip(max=60000).astype("<u4"), np.full(700, (1 << 32) - 1, "<u4")]
+    back = rangecoder.decode_blocks(rangecoder.encode_blocks(blocks), [len(b) for b in blocks])
+    assert all((a == b).all() for a, b in zip(blocks, back, strict=True))
+
+
+def test_a_block_does_not_hang_on_its_neighbours():
+    rng = np.random.default_rng(4)
+    blocks = [rng.zipf(1.5, n).clip(max=300).astype("<u4") for n in (5000, 700, 90, 3000, 1)]
+    assert rangecoder.encode_blocks(blocks) == [rangecoder.encode_blocks([b])[0] for b in blocks]
+
+
+def test_blocks_are_smaller_than_by_zlib():
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    ids = np.frombuffer(b"".join(token_io.tokenize(PATH, texts, 1)), "<u4")
+    blocks = [ids[a : a + rangecoder.BLOCK] for a in range(0, len(ids), rangecoder.BLOCK)]
+    coded = rangecoder.encode_blocks(blocks)
+    for b, c in zip(blocks, coded, strict=True):
+        assert len(c) < 0.9 * len(zlib.compress(b.astype("<u2").tobytes(), 9))
+    assert sum(map(len, coded)) * 8 < 8 * len(ids)
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.one_of(st.text(max_size=60), st.text(alphabet="aBé́ \n  .'s9Σ<|>", max_size=60)))
+@given(
+    st.one_of(
+        st.text(max_size=60),
+        st.text(alphabet="aBe\u0301\u00e9 \n\x85\xa0\x1c.'s9\u03a3\u00c0\u0130\u00df\u00aa\u01c6\u00bd<|>", max_size=60),
+        st.lists(st.sampled_from(["<|endoftext|>", "x", " ", "\u00c9", "don't", "12a"])).map("".join),
+    )
+)
 def test_pieces_give_the_ids_of_the_whole(text):
     got = np.frombuffer(token_io.tokenize(PATH, [text], 1)[0], "<u4").tolist()
     assert got == [*WHOLE.encode(text, add_special_tokens=False).ids, 1]
