@@ -43,8 +43,8 @@ MAGIC = b"LTF2"
 FRAME_IDS = rangecoder.BLOCK - (1 << 14)
 #: Ids that a worker holds before it codes them: as many strands of full blocks as advance together.
 HELD_IDS = FRAME_IDS * (rangecoder.LANES // rangecoder.STRANDS)
-#: Words and pre-tokens in a worker's tables before they are emptied.
-WORD_TABLE, PIECE_TABLE = 500_000, 500_000
+#: Words and pre-tokens in a worker's tables, which outlive its tasks, before they are emptied.
+WORD_TABLE, PIECE_TABLE = 1_000_000, 600_000
 #: Bytes of input files for each partition of ids, and the number of partitions from which they grow instead. Memory
 #: is bounded by HELD_IDS and the sort's spilling, not by a partition's size.
 PARTITION_BYTES, MOST_PARTITIONS = 16 << 20, 100_000
@@ -172,12 +172,6 @@ class Words:
         return b"".join(map(table.__getitem__, pieces)).split(self.SEPARATOR)
 
 
-def _drop() -> None:
-    """Forget words; pre-tokens, which are fewer and dearer, stay for the next task."""
-    for own in _tokenizers.values():
-        own.words.clear()
-
-
 class CorruptBlock(ValueError):
     """A block's ids don't match its checksum."""
 
@@ -289,7 +283,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end: int | None = 1,
     parts = max(rows.sparkSession.sparkContext.defaultParallelism, min(MOST_PARTITIONS, -(-input_bytes(rows) // PARTITION_BYTES)))
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     small_batches(rows.sparkSession)  # bounded() may deal the rows out anew, out of order
-    frames = rows.mapInArrow(tidy(run, _drop), "part int, frame int, n_docs long, n_ids long, before long, data binary")
+    frames = rows.mapInArrow(tidy(run), "part int, frame int, n_docs long, n_ids long, before long, data binary")
     # row groups of a few frames, so that readers share a file
     frames.write.option("parquet.block.size", GROUP_BYTES).option("parquet.page.size.row.check.min", 1).option("parquet.page.size.row.check.max", 1).parquet(path)
 
