@@ -4,7 +4,11 @@ Three patterns give base spans. The field tags the words of a text as a
 secret's begin, its inside, or outside, from a word's shape, its neighbours and
 features of the whole text, and is decoded by Viterbi; its spans are added
 where they touch no base span. It is trained on a sample in which the base spans
-are the labels, with the gradient of the exact likelihood.
+are the labels, with the gradient of the exact likelihood. So that it learns
+more than the patterns, each window with a secret is also shown without its key
+word, without its sign, and with other values, none of which a pattern finds;
+windows without secrets are taken where long numbers and addresses stand, and
+are also shown with key words that no value follows.
 
 A word whose score for outside exceeds its other scores by more than any
 transitions can make up for is outside on the best path, whatever surrounds it.
@@ -200,6 +204,54 @@ def text_kind(text: str, has_base: bool) -> int:
     return int(has_base) + 2 * ("=" in text or "{" in text)
 
 
+#: Characters of made-up values, and their shortest and longest length.
+_ALPHABETS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", "0123456789ABCDEF")
+_VALUE = 16, 48
+_KEYS = ("token", "password", "key", "secret", "auth", "credential")
+_SIGN = re.compile(r"[:=]+")
+
+
+def value(rng: np.random.Generator) -> str:
+    """A random value that has a digit and a letter, and that no base pattern takes for hex."""
+    letters = _ALPHABETS[rng.integers(len(_ALPHABETS))]
+    drawn = [letters[k] for k in rng.integers(0, len(letters), rng.integers(*_VALUE))]
+    return "".join(drawn[:-2] + ["7", "K"])
+
+
+def variants(words: list[str], tags: list[int], rng: np.random.Generator) -> Iterator[tuple[list[str], list[int]]]:
+    """A window as the patterns don't know it.
+
+    With a secret: the value alone, and key word and value without a sign, each
+    as it is or made up, and the whole with a value made up. Without: key words
+    in place of plain ones.
+    """
+    plain = [w for w, t in zip(words, tags, strict=True) if t == O and w.isalpha()]
+    if all(t == O for t in tags):
+        out = list(words)
+        for i in range(0, len(out) - 1, 5):
+            if out[i].isalpha() and not re.search(r"[0-9]", out[i + 1]):
+                out[i] = _KEYS[rng.integers(len(_KEYS))]
+        yield out, tags
+        return
+    for drop_key, drop_sign, fresh in ((True, True, False), (True, True, True), (False, True, False), (False, True, True), (False, False, True)):
+        out, own = [], []
+        for w, t in zip(words, tags, strict=True):
+            if t != O:
+                core = w.strip("\"',;")
+                if _SIGN.fullmatch(core):
+                    if drop_sign:
+                        continue
+                elif re.search(r"[0-9]", core) and len(core) >= 12:
+                    w = w.replace(core, value(rng)) if fresh else w
+                elif drop_key:
+                    w, t = plain[rng.integers(len(plain))] if plain else "of", O
+            out.append(w)
+            own.append(t)
+        own = [B if t != O and (k == 0 or own[k - 1] == O) else t for k, t in enumerate(own)]
+        if any(t != O for t in own):
+            yield out, own
+
+
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Training windows: words, tags and the text's kind."""
     for pdf in batches:
@@ -218,11 +270,17 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     tags[i:j] = I
                     tags[i] = B
                     centres.append(i)
-            centres = centres[:DOC_WINDOWS] or ([int(h // CLEAN_SHARE % len(words))] if words else [])
+            if not spans and words:
+                numbers = [k for k, m in enumerate(words) if len(m[0]) >= 10 and re.search(r"[0-9]", m[0])]
+                centres = [int(h // CLEAN_SHARE % len(words)), *numbers]
+            centres = centres[:DOC_WINDOWS]
             for c in centres:
                 a = max(0, c - WINDOW // 2)
                 own = slice(a, a + WINDOW)
-                rows.append((doc_id, a, [m[0] for m in words[own]], tags[own].tolist(), text_kind(text, bool(spans))))
+                shown, labels = [m[0] for m in words[own]], tags[own].tolist()
+                rows.append((doc_id, a, shown, labels, text_kind(text, bool(spans))))
+                rng = np.random.default_rng([h % (1 << 32), a])
+                rows += [(doc_id, a, *v, text_kind(" ".join(v[0]), False)) for v in variants(shown, labels, rng)]
         yield pd.DataFrame(rows, columns=["doc_id", "start", "words", "tags", "kind"])
 
 
