@@ -46,8 +46,8 @@ def fit_counts(sizes: list[int], counts: list[int], budget: int, seed: object =
         return list(counts)
     unit = math.gcd(*sizes)
     sizes, budget, have = [s // unit for s in sizes], budget // unit, have // unit
-    order = sorted((i for i in range(len(sizes)) if sizes[i] > 0), key=sizes.__getitem__)
-    take = [0 if s > 0 else c for s, c in zip(sizes, counts, strict=True)]
+    order = sorted(range(len(sizes)), key=sizes.__getitem__)
+    take = [0] * len(sizes)
     start = int(_draw(seed, "start") * have)
     passed, done = 0, 0
     for i in order:
@@ -63,7 +63,7 @@ def fit_counts(sizes: list[int], counts: list[int], budget: int, seed: object =
         rest += sizes[i]
     take, rest = _filled(sizes, counts, take, rest, seed)
     if rest:
-        down = [c if s == 0 else c * budget // have for s, c in zip(sizes, counts, strict=True)]
+        down = [c * budget // have for c in counts]
         take, _ = _filled(sizes, counts, down, budget - sum(s * t for s, t in zip(sizes, down, strict=True)), seed)
     return take
 
