@@ -27,8 +27,10 @@ ORDER = 3
 SAMPLE_TEXTS = 300
 SAMPLE_BYTES = 65_536
 SHARES = 64
-#: Bits for a byte, under the best language, from which a text counts as no language.
-MOST_BITS = 9.0
+#: A text counts as no language if its bits a byte exceed TIMES those of texts held out from its language's sample,
+#: and that by SIGMAS standard errors of a text of its length.
+#: One whose code is shorter than its bytes as they are is never noise.
+TIMES, SIGMAS, RAW = 3.0, 8.0, 8.0
 PIECE = 1 << 20
 #: Distinct byte pairs that a worker's price table is made for.
 PAIRS = 4096
@@ -141,13 +143,38 @@ def _remainder(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.encode(F.col(doc_id).cast("string"), "utf-8")) % 4
 
 
+def without_noise(texts: list[bytes], times: float = TIMES) -> tuple[list[bytes], tuple[float, float] | None]:
+    """(texts that are no noise, mean and variance of the bits of their bytes).
+
+    Each half of the texts is priced by a model of the other. A text is noise if
+    its bits a byte are more than `times` the texts' median. One text alone
+    can't be judged.
+    """
+    halves = [texts[0::2], texts[1::2]]
+    if not halves[1]:
+        return texts, None
+    priced = []
+    for model, own in ((learn(halves[0]), halves[1]), (learn(halves[1]), halves[0])):
+        priced += [(t, price(model, _grams(b" " * ORDER + t.lower(), ORDER + 1))) for t in own]
+    most = times * float(np.median([bits.mean() for _, bits in priced]))
+    kept = [(t, bits) for t, bits in priced if bits.mean() <= most]
+    bits = np.concatenate([b for _, b in kept])
+    return [t for t, _ in kept], (float(bits.mean()), float(bits.var()))
+
+
 def fit(docs: DataFrame, texts: int = SAMPLE_TEXTS, most_bytes: int = SAMPLE_BYTES) -> dict[str, Model]:
     """A model for each lang, from `texts` documents of it with the smallest hashes.
 
-    Documents without text, lang or doc_id, those held out, and those of more
-    than most_bytes bytes don't count.
+    Documents without text, lang or doc_id, and those held out don't count. Of a
+    text of more than most_bytes bytes a window of most_bytes // 4 characters
+    counts, from a place that the hash gives.
     """
-    known = docs.where((_remainder() != 2) & F.col("lang").isNotNull() & (F.octet_length("text") <= most_bytes) & (F.octet_length("text") > 0))
+    return {lang: model for lang, (model, _) in _fit(docs, texts, most_bytes).items()}
+
+
+def _fit(docs: DataFrame, texts: int = SAMPLE_TEXTS, most_bytes: int = SAMPLE_BYTES, judge: bool = False) -> dict[str, tuple[Model, tuple[float, float] | None]]:
+    """fit()'s models; or, if the samples are to be judged, models without their noise, and the rates of held-out texts."""
+    known = docs.where((_remainder() != 2) & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
     # first within shares of a language, so that no task ranks more than its share of a common one
     ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     for share in (["lang", F.pmod("h", F.lit(SHARES))], ["lang"]):
@@ -155,11 +182,16 @@ def fit(docs: DataFrame, texts: int = SAMPLE_TEXTS, most_bytes: int = SAMPLE_BYT
         ids = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= texts).drop("r")
     ids = ids.select("doc_id", "lang")
     # `texts` ids of each language, and as many models come to the driver anyway
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), ["doc_id", "lang"], "left_semi")
+    width = most_bytes // 4
+    start = F.pmod(F.xxhash64("doc_id"), F.length("text") - width + 1).cast("int") + 1
+    text = F.when(F.octet_length("text") <= most_bytes, F.col("text")).otherwise(F.substring("text", F.when(F.length("text") > width, start).otherwise(1), F.lit(width)))
+    sample = known.select("doc_id", "lang", text.alias("text")).join(F.broadcast(ids.distinct()), ["doc_id", "lang"], "left_semi")
 
     def learned(pdf: pd.DataFrame) -> pd.DataFrame:
-        model = learn(sorted(map(utf8, pdf["text"])))
-        return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "model": [pickle.dumps(model)]})
+        own, rate = sorted(map(utf8, pdf["text"])), None
+        if judge:
+            own, rate = without_noise(own)
+        return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "model": [pickle.dumps((learn(own), rate))]})
 
     rows = sample.groupBy("lang").applyInPandas(learned, "lang string, model binary").collect()
     return {r.lang: pickle.loads(bytes(r.model)) for r in sorted(rows, key=lambda r: r.lang)}
@@ -203,8 +235,22 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def reject_unknown(docs: DataFrame, least_score: float = 0.5, most_bits: float = MOST_BITS) -> DataFrame:
-    """The rows of docs in a language learned from docs: not `und`, not doubtful, not noise by its code length."""
-    found = predict(docs, fit(docs), keep=tuple(docs.columns))
-    found = found.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score) & (F.col("bits_per_byte") <= most_bits))
+def reject_unknown(docs: DataFrame, least_score: float = 0.5, times: float = TIMES, sigmas: float = SIGMAS) -> DataFrame:
+    """The rows of docs in a language learned from docs: not `und`, not doubtful, not noise by its code length.
+
+    What is noise follows from texts held out from each language's sample: a
+    text of n bytes is if its bits a byte exceed `times` their mean by `sigmas`
+    times the square root of (variance of a byte's bits / n), so that a short
+    text with a number or an address in it stays; so does one coded in fewer
+    than RAW bits a byte. With one learned text of a language there is nothing
+    to compare with, and only the score decides.
+    """
+    fitted = _fit(docs, judge=True)
+    found = predict(docs, {lang: model for lang, (model, _) in fitted.items()}, keep=tuple(docs.columns))
+    most = F.lit(float("inf"))
+    for lang, (_, rate) in fitted.items():
+        if rate:
+            bound = rate[0] * times + sigmas * F.sqrt(F.lit(rate[1]) / F.octet_length("__text"))
+            most = F.when(F.col("lang_pred") == lang, F.greatest(bound, F.lit(RAW))).otherwise(most)
+    found = found.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score) & (F.col("bits_per_byte") <= most))
     return found.select(*[F.col(f"__{c}").alias(c) for c in docs.columns])

@@ -81,3 +81,17 @@ def test_odd_rows(spark):
 def _no_warnings():
     with np.errstate(all="raise", under="ignore"):
         yield
+
+
+def test_noise_in_a_sample():
+    words = [b"the words of this text are alike but not the same " + str(k).encode() for k in range(30)]
+    noise = [bytes(np.random.default_rng(k).integers(33, 126, 900, dtype=np.uint8)) for k in range(4)]
+    kept, (mean, var) = langid.without_noise(sorted(words + noise))
+    assert sorted(kept) == sorted(words) and 0 < mean < 3 and var > 0
+    assert langid.without_noise([b"one"]) == ([b"one"], None)
+
+
+def test_a_language_of_long_texts_alone_is_learned(spark):
+    rows = [(k, w * 30_000, lang) for k, (w, lang) in enumerate([("the words ", "en"), ("der satz ", "de")] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {(r.lang_pred, r.doc_id % 2) for r in langid.identify(docs).collect()} == {("en", 0), ("de", 1)}
