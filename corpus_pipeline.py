@@ -24,9 +24,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the smallest doc_id, of each near-duplicate component (five words, 0.8); those without an id stay."""
+    """Keep one document, that of the smallest doc_id, of each near-duplicate component (five words, 0.8); those without an id stay.
+
+    Of several texts of one doc_id that with the smallest hash stays, of equal rows one.
+    """
     kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    one = docs.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.struct(*docs.columns).alias("r"))).alias("m"))
+    return one.where("doc_id is not null").join(kept, "doc_id", "left_semi").select("m.r.*").unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
