@@ -10,7 +10,9 @@ that lies in enough windows is verified by its exact distance. At its distance
 a neighbour is in a share p of the windows, p = 2 * Phi(WIDTH / 2) - 1; the
 threshold is SIGMAS standard deviations below. The search of a block ends when
 k verified vectors lie within R (Huang et al., 2015, with the radius itself as
-the bound, for recall).
+the bound, for recall). The first block is searched before the others; the
+distance of its k-th neighbour bounds the radius in all of them, for the k
+nearest of all can't lie further away.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.vectors import matrix, usable
+from lectern.session import materialise
 
-PROJECTIONS = 64
+PROJECTIONS = 256
 WIDTH = 2.719
-SIGMAS = 2.0
+SIGMAS = 1.25
 GROWTH = 1.1
 START = 0.87
 SAMPLE = 256
@@ -46,11 +49,15 @@ class Index:
         p = self.vectors @ self.directions
         self.order = np.argsort(p, axis=0, kind="stable").astype(np.int32).T.copy()
         self.sorted = np.take_along_axis(p, self.order.T, axis=0).T.copy()
+        self.verified = 0
         share = math.erf(WIDTH / 2 / math.sqrt(2))
         self.threshold = max(1, math.floor(projections * share - SIGMAS * math.sqrt(projections * share * (1 - share))))
 
-    def search(self, own: int, query: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """(distance, id) of the k nearest found, without vectors of the id `own`."""
+    def search(self, own: int, query: np.ndarray, k: int, most: float = math.inf) -> list[tuple[float, int]]:
+        """(distance, id) of the k nearest found up to a radius `most`, without vectors of the id `own`.
+
+        `verified` counts the vectors whose distances were computed.
+        """
         n, m = len(self.ids), len(self.sorted)
         centre = query @ self.directions
         low = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted, centre, strict=True)])
@@ -59,7 +66,9 @@ class Index:
         pending[np.searchsorted(self.ids, own, "left") : np.searchsorted(self.ids, own, "right")] = False
         found_at, found = [np.empty(0, np.int64)], [np.empty(0)]
         near = np.sort(np.linalg.norm(self.vectors[self.sample[pending[self.sample]]] - query, axis=1))
-        radius = (START * float(near[min(k, len(near)) - 1]) if len(near) else 1.0) + 1e-6 * float(np.linalg.norm(query))
+        least = 1e-6 * float(np.linalg.norm(query))
+        most += least
+        radius = min(most, (START * float(near[min(k, len(near)) - 1]) if len(near) else 1.0) + least)
         while True:
             half = WIDTH * radius / 2
             parts = []
@@ -77,17 +86,18 @@ class Index:
             at = np.flatnonzero(pending & (counts >= self.threshold))
             if len(at):
                 pending[at] = False
+                self.verified += len(at)
                 d = self.vectors[at] - query
                 found.append(np.sqrt(np.einsum("ij,ij->i", d, d)))
                 found_at.append(at)
             distances = np.concatenate(found)
-            if (distances <= radius).sum() >= k or not pending.any():
+            if (distances <= radius).sum() >= k or radius >= most or not pending.any():
                 at = np.concatenate(found_at)
                 close = at if len(at) <= k else at[distances <= np.partition(distances, k - 1)[k - 1] * (1 + 1e-9)]
                 exact, ids = distance(self.vectors[close] - query), self.ids[close]
                 best = np.lexsort((ids, exact))[:k]
                 return list(zip(exact[best].tolist(), ids[best].tolist(), strict=True))
-            radius *= GROWTH
+            radius = min(most, radius * GROWTH)
 
 
 def distance(d: np.ndarray) -> np.ndarray:
@@ -105,8 +115,8 @@ def _search(k: int, projections: int):
         if is_query.any() and not is_query.all():
             c, q = pdf[~is_query], pdf[is_query].sort_values("vec_id")
             index = Index(c["vec_id"].to_numpy(), matrix(c["vector"]), projections)
-            for own, vector in zip(q["vec_id"], matrix(q["vector"]), strict=True):
-                rows += [(own, i, d) for d, i in index.search(own, vector, k)]
+            for own, vector, most in zip(q["vec_id"], matrix(q["vector"]), q["most"], strict=True):
+                rows += [(own, i, d) for d, i in index.search(own, vector, k, math.inf if most is None or most != most else most)]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
     return run
@@ -136,13 +146,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BL
     def every(n: int):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    c = own.select("*", F.lit(False).alias("query"), F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("int").alias("block"), every(groups).alias("part"))
-    q = asked.select("*", F.lit(True).alias("query"), every(blocks).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("part"))
-    found = (
-        c.unionByName(q)
-        .groupBy("block", "part", F.size("vector").alias("dims"))
-        .applyInPandas(_search(k, projections), "query_id long, vec_id long, score double")
-    )
+    c = own.select("*", F.lit(None).cast("double").alias("most"), F.lit(False).alias("query"), F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("int").alias("block"), every(groups).alias("part"))
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("part")
+
+    def searched(candidates: DataFrame, queries: DataFrame) -> DataFrame:
+        return candidates.unionByName(queries).groupBy("block", "part", F.size("vector").alias("dims")).applyInPandas(_search(k, projections), "query_id long, vec_id long, score double")
+
+    q = asked.select("*", F.lit(None).cast("double").alias("most"), F.lit(True).alias("query"), F.lit(0).alias("block"), part)
+    found = searched(c.where("block = 0"), q)
+    if blocks > 1:
+        found = materialise(found, "first-block")
+        bound = found.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("most")).where(F.col("n") >= k)
+        asked = asked.join(bound.select(F.col("query_id").alias("vec_id"), "most"), "vec_id", "left")
+        q = asked.select("vec_id", "vector", "most", F.lit(True).alias("query"), F.explode(F.sequence(F.lit(1), F.lit(blocks - 1))).alias("block"), part)
+        found = found.unionByName(searched(c.where("block > 0"), q))
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -60,6 +60,39 @@ def test_estimates_are_unbiased_and_bounded():
     assert abs((estimate - true).mean()) < 0.005 and (np.abs(estimate - true) <= error).mean() > 0.999
 
 
+def test_four_bits_estimate_without_bias():
+    shape = embed_dedup.Shape(64, 8, 4, 0.95)
+    turns = embed_dedup.rotations(64, shape.turns)
+    rng = np.random.default_rng(2)
+    x, y = (embed_dedup.unit(rng.standard_normal((6000, 64))) for _ in range(2))
+    y = embed_dedup.unit(x + 0.3 * y)
+    a, b = (embed_dedup.stored(v, turns, shape, 1) for v in (x, y))
+    code, planes = embed_dedup.words(a["bits"])[:, :1], embed_dedup.words(b["planes"])
+    got = embed_dedup.estimate(code, a["factor"], planes, b["low"], b["step"], 64)
+    true = (x * y).sum(axis=1)
+    f = a["factor"]
+    error = embed_dedup.SIGMAS * np.sqrt((1 - f * f) / f**2 / 63 + (b["step"] / f / 2) ** 2)
+    assert abs((got - true).mean()) < 0.005 and (np.abs(got - true) <= error).mean() > 0.999
+
+
+def at_the_threshold(dims, pairs, noise, seed=7):
+    """Unrelated vectors, and pairs whose cosine is a little above the threshold."""
+    rng = np.random.default_rng(seed)
+    x, e = (embed_dedup.unit(rng.standard_normal((pairs, dims))) for _ in range(2))
+    e = embed_dedup.unit(e - (e * x).sum(axis=1, keepdims=True) * x)
+    y = 0.951 * x + math.sqrt(1 - 0.951**2) * e
+    return np.concatenate([x, y, rng.standard_normal((noise, dims))]).astype("f4")
+
+
+@pytest.mark.parametrize("dims", [64, 100])
+def test_recall_of_links_at_the_shipped_settings(spark, dims):
+    x = at_the_threshold(dims, 1500, 3000)
+    docs = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = embed_dedup.near_duplicates(docs).toPandas().set_index("vec_id")
+    assert (got.n_links.loc[3000:] == 0).all() and got.n_links.max() == 1
+    assert got.n_links.loc[:2999].sum() >= 0.97 * 3000
+
+
 def odd(spark):
     nan, inf = math.nan, math.inf
     rows = [(100, [1.0, 0.0]), (200, None), (300, [0.0, 0.0]), (400, [nan, 1.0]), (500, [inf, 1.0]), (600, [1.0, None]), (700, []), (None, [1.0, 0.0]), (800, [1.0, 0.0, 0.0]), (900, [2.0, 0.0]), (101, [1.0, 0.001]), (101, [0.0, 1.0])]
@@ -100,3 +133,19 @@ def test_recall(spark, block):
         assert np.allclose(own.score, [dist[ids == v][0] for v in own.vec_id], rtol=1e-12)
         hits += len(set(ids[best]) & set(own.vec_id))
     assert hits >= 0.95 * len(got)
+
+
+def test_few_vectors_are_verified():
+    """Of 8192 vectors in 64 dimensions, spread like the driver's, a search computes less than a tenth of the distances."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((8192, 64))
+    index, hits = ann.Index(np.arange(8192), x), 0
+    for q in range(30):
+        v = x[q]
+        d = np.sqrt(((x - v) ** 2).sum(axis=1))
+        d[q] = np.inf
+        best = np.argsort(d)[:10]
+        got = index.search(q, v, 10, float(d[best[-1]]) * 1.05)
+        hits += len({i for _, i in got} & set(best.tolist()))
+    assert hits >= 0.9 * 300
+    assert index.verified < 0.1 * 30 * 8192
