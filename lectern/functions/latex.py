@@ -16,6 +16,11 @@ MODULES = ("math", "fractions", "decimal", "itertools", "functools", "operator",
 REFUSED = ("eval", "exec", "compile", "open", "input", "__import__", "globals", "locals", "vars", "getattr", "setattr", "delattr", "breakpoint")
 
 
+# Patterns of loaded packages and of a bibliography's items.
+_PACKAGES = r"\\usepackage\s*(?:\[[^\]]*\])?\s*\{([^}]*)\}"
+_ITEMS = r"\\bibitem\s*(?:\[[^\]]*\])?\s*\{([^}]*)\}"
+
+
 def contributions(col: Column | str) -> Column:
     """Items of the sentences that announce contributions: what follows a colon, cut at semicolons and (i) marks; three words or more."""
     flat = F.regexp_replace(X.drop_markup(col), r"\s+", " ")
@@ -37,7 +42,7 @@ def quantifiers(col: Column | str) -> Column:
 def packages(col: Column | str) -> Column:
     """Distinct packages that a text loads, in order."""
     c = F.col(col) if isinstance(col, str) else col
-    lists = F.regexp_extract_all(X.strip_comments(c), F.lit(r"\\usepackage\s*(?:\[[^\]]*\])?\s*\{([^}]*)\}"), F.lit(1))
+    lists = F.regexp_extract_all(X.strip_comments(c), F.lit(_PACKAGES), F.lit(1))
     names = F.flatten(F.transform(lists, lambda g: F.transform(F.split(g, ","), lambda p: F.trim(p))))
     return F.array_distinct(F.filter(names, lambda p: p != ""))
 
@@ -58,7 +63,7 @@ def escape(col: Column | str) -> Column:
 
 def cited_entries(entries: DataFrame, bbl: DataFrame) -> DataFrame:
     """Entries (key) that a bibliography's items name; bbl: text. All of them if it names none."""
-    keys = bbl.select(F.explode(F.regexp_extract_all("text", F.lit(r"\\bibitem\s*(?:\[[^\]]*\])?\s*\{([^}]*)\}"), F.lit(1))).alias("key")).distinct()
+    keys = bbl.select(F.explode(F.regexp_extract_all("text", F.lit(_ITEMS), F.lit(1))).alias("key")).distinct()
     return entries.join(keys, "key", "left_semi") if not keys.isEmpty() else entries
 
 
@@ -75,14 +80,25 @@ def citation_audit(tex: DataFrame, entries: DataFrame) -> DataFrame:
 def named_conditions(col: Column | str) -> Column:
     """Hypotheses that a step must meet for the results it names: array of codes.
 
-    Jensen needs a convexity that fits the direction of the relation; Markov,
-    Chebyshev and the means need terms that aren't negative.
+    Jensen needs a convexity, and the mean of the function on the side that the
+    convexity makes the larger: with a convex function E[f(X)] >= f(E[X]), with a
+    concave one the other way round. Where the text doesn't compare the two, or
+    speaks of both shapes, nothing is said of the direction. Markov, Chebyshev
+    and the means need terms that aren't negative.
     """
     c = F.col(col) if isinstance(col, str) else col
     jensen = c.rlike("(?i)jensen")
     shaped = c.rlike("(?i)convex|concav")
+    mean = r"(?:\\mathbb\s*\{?\s*E\s*\}?|\\operatorname\s*\{\s*E\s*\}|\\E(?![A-Za-z]))\s*(?:\\left)?\s*[\[({]\s*\\?[A-Za-z]+\s*(?:\\left)?\s*[\[(]"
+    of_mean = r"\\?[A-Za-z]+\s*(?:\\left)?\s*[\[(]\s*(?:\\mathbb\s*\{?\s*E|\\operatorname\s*\{\s*E|\\E(?![A-Za-z]))"
+    less, more = r"(?:\\leq?(?:slant)?(?![a-z])|<)", r"(?:\\geq?(?:slant)?(?![a-z])|>)"
+    mean_is_less = c.rlike(f"{mean}[^<>]*?{less}[^<>]*?{of_mean}") | c.rlike(f"{of_mean}[^<>]*?{more}[^<>]*?{mean}")
+    mean_is_more = c.rlike(f"{mean}[^<>]*?{more}[^<>]*?{of_mean}") | c.rlike(f"{of_mean}[^<>]*?{less}[^<>]*?{mean}")
+    convex, concave = c.rlike(r"(?i)\bconvex"), c.rlike(r"(?i)\bconcav")
+    wrong = (convex & ~concave & mean_is_less & ~mean_is_more) | (concave & ~convex & mean_is_more & ~mean_is_less)
     codes = [
         F.when(jensen & ~shaped, F.lit("jensen:convexity-not-stated")),
+        F.when(jensen & wrong, F.lit("jensen:direction")),
         F.when(c.rlike("(?i)markov(?:'s)? inequality|chebyshev") & ~c.rlike("(?i)non-?negative|positive"), F.lit("markov:non-negative")),
         F.when(c.rlike("(?i)AM[-–]GM|arithmetic[-\\s]geometric") & ~c.rlike("(?i)non-?negative|positive"), F.lit("am-gm:non-negative")),
     ]

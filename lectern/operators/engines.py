@@ -15,8 +15,21 @@ from fractions import Fraction
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-# Domains of symbols.
-DOMAINS = ("real", "positive", "nonnegative", "nonzero", "integer", "unit")
+# Domains of symbols that have rational points; parse.symbols.DOMAINS has more, for which nothing can be tried.
+DOMAINS = (
+    "real", "positive", "nonnegative", "nonzero", "negative", "nonpositive", "integer", "integer-positive", "natural", "unit-interval", "unit-interval-half-open",
+    "open-unit-interval", "unit",
+)
+_INSIDE = {
+    "real": lambda q: True, "positive": lambda q: q > 0, "nonnegative": lambda q: q >= 0, "nonzero": lambda q: True, "negative": lambda q: q < 0, "nonpositive": lambda q: q <= 0,
+    "integer": lambda q: q.denominator == 1, "integer-positive": lambda q: q.denominator == 1 and q > 0, "natural": lambda q: q.denominator == 1 and q > 0,
+    "unit-interval": lambda q: 0 < q < 1, "unit-interval-half-open": lambda q: 0 < q < 1, "open-unit-interval": lambda q: 0 < q < 1, "unit": lambda q: 0 < q < 1,
+}
+#: Of 0, 1 and -1 those that belong to a domain; they are tried for inequalities only.
+_ENDS = {
+    "real": (0, 1, -1), "nonnegative": (0, 1), "positive": (1,), "integer": (0, 1), "nonzero": (1, -1), "negative": (-1,), "nonpositive": (0, -1), "integer-positive": (1,),
+    "natural": (1,), "unit-interval": (0, 1), "unit-interval-half-open": (0,),
+}
 RELATIONS = {
     "=": lambda a, b: a == b, r"\le": lambda a, b: a <= b, r"\leq": lambda a, b: a <= b, r"\ge": lambda a, b: a >= b, r"\geq": lambda a, b: a >= b,
     "<": lambda a, b: a < b, ">": lambda a, b: a > b, r"\ne": lambda a, b: a != b,
@@ -34,11 +47,7 @@ def register(name: str, engine: Callable[[pd.DataFrame], pd.DataFrame]) -> None:
 def domain_points(domain: str, count: int = 24) -> list[Fraction]:
     """Rationals of a domain by rising magnitude: halves, thirds and wholes, without 0 and ±1, which hide errors."""
     grid = sorted({Fraction(n, d) for d in (1, 2, 3, 5) for n in range(-60, 61)}, key=lambda q: (abs(q), q < 0))
-    keep = {
-        "real": lambda q: True, "positive": lambda q: q > 0, "nonnegative": lambda q: q >= 0, "nonzero": lambda q: True,
-        "integer": lambda q: q.denominator == 1, "unit": lambda q: 0 < q < 1,
-    }[domain]
-    return [q for q in grid if q not in (0, 1, -1) and keep(q)][:count]
+    return [q for q in grid if q not in (0, 1, -1) and _INSIDE[domain](q)][:count]
 
 
 def points(step_id: str, domains: dict[str, str], relation: str, trials: int = 24) -> list[dict[str, Fraction]]:
@@ -47,9 +56,8 @@ def points(step_id: str, domains: dict[str, str], relation: str, trials: int = 2
     pools = {v: domain_points(d) for v, d in domains.items()}
     out = [{v: p[(start + t * (2 * k + 1)) % len(p)] for k, (v, p) in enumerate(pools.items())} for t in range(trials)]
     if relation != "=":
-        ends = {"real": (0, 1, -1), "nonnegative": (0, 1), "positive": (1,), "integer": (0, 1), "nonzero": (1, -1), "unit": ()}
         for e in (0, 1, -1):
-            if all(e in ends[d] for d in domains.values()):
+            if all(e in _ENDS.get(d, ()) for d in domains.values()):
                 out.append({v: Fraction(e) for v in domains})
     return out
 
@@ -137,8 +145,10 @@ def gradient(step_id: str, f: Callable[..., object], claimed: Callable[..., obje
     """(outcome, trials) of a claimed partial derivative, by central differences at three widths in `digits` digits.
 
     Each width is a quarter of the one before, and the error of a right
-    derivative falls to about a sixteenth; ratios of successive errors between
-    2 and 32, or no error at all, speak for it.
+    derivative falls to about a sixteenth. No error, or one that falls at such a
+    rate to nothing, speaks for it. An error that falls but stays, or that
+    doesn't settle, is numerical and leaves it unverified; only one that no
+    width changes refutes it.
     """
     from decimal import Decimal, InvalidOperation, localcontext
 
@@ -157,5 +167,8 @@ def gradient(step_id: str, f: Callable[..., object], claimed: Callable[..., obje
         tiny = Decimal(10) ** -(digits // 2)
         if all(e <= tiny for e in errors):
             return "not-refuted", 3
-        ratios = [a / b for a, b in zip(errors, errors[1:], strict=False) if b > 0]
-        return ("not-refuted" if ratios and all(2 <= r <= 32 for r in ratios) else "refuted"), 3
+        ratios = [a / b if b else None for a, b in zip(errors, errors[1:], strict=False)]
+        if errors[-1] <= Decimal(10) ** -6 * max(abs(value), Decimal(1)):
+            return "not-refuted", 3
+        settled = all(r is not None and Decimal("0.5") < r < 2 for r in ratios)
+        return ("refuted" if settled else "unverified"), 3

@@ -26,7 +26,7 @@ SETTLES = {
     ),
     "invertible": ("positive-definite", "invertible"),
 }
-#: Declarations: what follows a symbol, and the domain that it gives.
+# Declarations, what follows a symbol, and the domain that it gives.
 DECLARATIONS = (
     (r"\s*>\s*0(?![.\d])", "positive"), (r"\s*<\s*0(?![.\d])", "negative"), (r"\s*\\(?:ge|geq)\s*0(?![.\d])", "nonnegative"), (r"\s*\\(?:le|leq)\s*0(?![.\d])", "nonpositive"),
     (r"\s*\\in\s*\(\s*0\s*,\s*1\s*\)", "open-unit-interval"), (r"\s*\\in\s*\[\s*0\s*,\s*1\s*\)", "unit-interval-half-open"), (r"\s*\\in\s*\[\s*0\s*,\s*1\s*\]", "unit-interval"),
@@ -34,14 +34,25 @@ DECLARATIONS = (
     (r"\s*\\in\s*\\mathbb\s*\{?N\}?", "natural"), (r"\s*\\in\s*\\mathbb\s*\{?Z\}?", "integer"), (r"\s*\\in\s*\\mathbb\s*\{?C\}?", "complex"),
     (r"\s*\\succ\s*0", "positive-definite"), (r"\s*\\succeq\s*0", "positive-semidefinite"),
 )
-_GREEK = "alpha beta gamma delta epsilon varepsilon zeta eta theta vartheta iota kappa lambda mu nu xi pi rho sigma tau upsilon phi varphi chi psi omega Gamma Delta Theta Lambda Xi Pi Sigma Upsilon Phi Psi Omega".split()
+# Commands that are letters.
+_GREEK = (
+    "alpha", "beta", "gamma", "delta", "epsilon", "varepsilon", "zeta", "eta", "theta", "vartheta", "iota", "kappa", "lambda", "mu", "nu", "xi", "pi", "varpi", "rho", "varrho",
+    "sigma", "varsigma", "tau", "upsilon", "phi", "varphi", "chi", "psi", "omega", "Gamma", "Delta", "Theta", "Lambda", "Xi", "Pi", "Sigma", "Upsilon", "Phi", "Psi", "Omega", "ell", "hbar", "imath", "jmath",
+)
+# Fixed value: code points from a symbol's first use within which a declaration of it counts.
+WINDOW = 240
+# What may stand between a symbol and its relation, indices, powers and primes, and up to four more symbols.
+_MARKS = r"(?:_\{[^{}]*\}|_[A-Za-z0-9]|\^\{[^{}]*\}|\^[A-Za-z0-9]|')*"
+_LIST = r"(?:\s*,\s*\$?\s*\\?[A-Za-z]+" + _MARKS + r"\$?){0,4}"
 _SYMBOL = re.compile(r"\\(?:" + "|".join(_GREEK) + r")(?![A-Za-z])|(?<![A-Za-z\\])[A-Za-z](?![A-Za-z])")
 
 
 def inventory(text: str | None) -> list[tuple[str, int, int, str | None, str, str]]:
     """(symbol, first offset, occurrences, domain, provenance, evidence) of the symbols in a text's math.
 
-    A domain is declared by the first declaration of the symbol, else inferred
+    A domain is declared by the first declaration that starts within WINDOW of
+    the symbol's first use, in which the symbol is neither an index nor a part
+    of a longer name; its own indices and a list of symbols may follow it. Else it is inferred
     from an index of a sum that starts at a whole number, or from a power of
     -1, which settles no obligation; else it is unknown.
     """
@@ -54,7 +65,9 @@ def inventory(text: str | None) -> list[tuple[str, int, int, str | None, str, st
     out = []
     for symbol, (first, n) in sorted(seen.items(), key=lambda x: x[1]):
         name = re.escape(symbol) + r"(?![A-Za-z])"
-        declared = min(((m.start(), -len(m[0]), domain, m[0]) for p, domain in DECLARATIONS for m in [re.search(r"(?<![A-Za-z\\])" + name + p if symbol[0] != "\\" else name + p, text)] if m), default=None)
+        starts = r"(?<![A-Za-z0-9_^\\])" + re.escape(symbol) + (r"(?![A-Za-z])" if symbol[0] == "\\" else "") + _MARKS + _LIST
+        hits = ((re.compile(starts + p).search(text, first, first + WINDOW), domain) for p, domain in DECLARATIONS)
+        declared = min(((m.start(), -len(m[0]), domain, m[0]) for m, domain in hits if m), default=None)
         index = re.search(r"\\(?:sum|prod)\s*_\s*\{\s*" + name + r"\s*=\s*(\d+)", text)
         if declared:
             out.append((symbol, first, n, declared[2], "declared", declared[3]))
@@ -141,6 +154,21 @@ def macros(text: str | None) -> dict[str, tuple[int, str]]:
     return out
 
 
+def without_definitions(text: str) -> str:
+    """The text with definitions of commands blanked, so that none is expanded in its own definition."""
+    out, at = [], 0
+    for m in _DEFINE.finditer(text):
+        if m.start() < at:
+            continue
+        body = re.compile(r"\s*").match(text, m.end()).end()
+        if text[body : body + 1] == "{":
+            _, end, closed = balanced(text, body)
+            if closed:
+                out += [text[at : m.start()], re.sub(r"[^\n]", " ", text[m.start() : end])]
+                at = end
+    return "".join(out) + text[at:]
+
+
 def expand(text: str, known: dict[str, tuple[int, str]], depth: int = 8) -> tuple[str, list[str]]:
     """The text with commands replaced, at most `depth` times over, and the commands that survive."""
     if not known:

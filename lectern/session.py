@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -30,14 +31,16 @@ def get_session(app: str = "lectern", cpus: str = "8", **conf: str) -> SparkSess
 def scratch_root(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder is
-    made and registered as the checkpoint folder.
+    Only where that setting is absent and the master is local (tests, a laptop)
+    a temporary folder is made and registered as the checkpoint folder.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import strip_comments, table_cell
+from lectern.functions.text import norm_title, strip_comments, table_cell
 from lectern.operators.graph import reachable
 
 
@@ -67,11 +67,15 @@ def discover(files: DataFrame, preferred: tuple[str, ...], suffix: str, excluded
 
 
 def from_candidates(candidates: DataFrame, grades: tuple[str, ...], by_doi: DataFrame, by_title: DataFrame) -> DataFrame:
-    """Candidates of the given grades, resolved by DOI, else by title, else as they are: title, resolved_id, how."""
-    c = candidates.where(F.col("grade").isin(*grades))
-    d = by_doi.select(F.col("doi").alias("d_doi"), F.col("id").alias("d_id"))
-    t = by_title.select(F.col("title").alias("t_title"), F.col("id").alias("t_id"))
-    j = c.join(d, F.col("doi") == F.col("d_doi"), "left").join(t, F.col("title") == F.col("t_title"), "left")
+    """Candidates of the given grades, resolved by DOI, else by title key, else as they are: title, resolved_id, how.
+
+    Titles are compared by norm_title, and an empty key meets none; of several
+    records of one DOI or title key that with the smallest id counts.
+    """
+    c = candidates.where(F.col("grade").isin(*grades)).withColumn("c_key", F.nullif(norm_title("title"), F.lit("")))
+    d = by_doi.groupBy(F.col("doi").alias("d_doi")).agg(F.min("id").alias("d_id"))
+    t = by_title.groupBy(norm_title("title").alias("t_key")).agg(F.min("id").alias("t_id"))
+    j = c.join(d, F.col("doi") == F.col("d_doi"), "left").join(t, F.col("c_key") == F.col("t_key"), "left")
     how = F.when(F.col("d_id").isNotNull(), "doi").when(F.col("t_id").isNotNull(), "title").otherwise("retained")
     return j.select("title", F.coalesce("d_id", "t_id").alias("resolved_id"), how.alias("how"))
 
