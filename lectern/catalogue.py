@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import documents, fixtures, tables
+from lectern.plans import documents, fixtures, scholarly, tables
 
-_ALL = documents.QUERIES | tables.QUERIES | fixtures.QUERIES
+_ALL = documents.QUERIES | tables.QUERIES | scholarly.QUERIES | fixtures.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

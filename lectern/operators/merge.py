@@ -18,28 +18,46 @@ def union_first(sources: list[DataFrame], key: str, order: str) -> DataFrame:
     for k, s in enumerate(sources):
         s = s.withColumn("engine", F.lit(k))
         ranked = s if ranked is None else ranked.unionByName(s, allowMissingColumns=True)
-    return first_by(ranked.where(F.col(key).isNotNull()), [key], ["engine", order])
+    # an aggregation that combines before its shuffle; null keys go after it, for a filter would compute a key twice
+    rest = [c for c in ranked.columns if c != key]
+    first = ranked.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct("engine", order)).alias("__first")).where(F.col(key).isNotNull())
+    return first.select(*[key if c == key else F.col(f"__first.{c}").alias(c) for c in ranked.columns])
 
 
-def keyed_upsert(hits: DataFrame, key: str, seq: str, attributes: list[str], count: str, path: str, references: str, excluded: DataFrame | None = None) -> DataFrame:
+def keyed_upsert(
+    hits: DataFrame, key: str, seq: str, attributes: list[str], count: str, path: str, references: str, excluded: DataFrame | None = None, excluding: Column | None = None
+) -> DataFrame:
     """One row for each key: attributes of the first hit, greatest known count, union of references, distinct paths in order.
 
-    Attributes are taken together by min_by on seq, so the merge is one
-    aggregation that combines before its shuffle. Keys that are null, empty or
-    in `excluded` (a column named as the key) are dropped. A count that no hit
-    knows stays null; references that none has are an empty array.
+    Hits are first brought down to one row for each key and path, in an
+    aggregation that combines before its shuffle: attributes by min_by on seq,
+    references as a set. So a key's last row grows with its distinct paths and
+    references alone, not with its hits. Keys that are null, empty or in
+    `excluded` (a column named as the key), or of which a hit meets the
+    condition `excluding`, are dropped. A count that no hit knows stays null;
+    references that none has are an empty array.
     """
-    hits = hits.where(F.col(key).isNotNull() & (F.col(key) != ""))
     if excluded is not None:
         hits = hits.join(excluded.select(key).distinct(), key, "left_anti")
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(path).alias("p"))))
-    merged = hits.groupBy(key).agg(
-        F.min_by(F.struct(*attributes), F.col(seq)).alias("__first"),
+    bad = F.coalesce(excluding, F.lit(False)) if excluding is not None else F.lit(False)
+    none = F.array().cast(dict(hits.dtypes)[references])
+    hits = hits.withColumn("__bad", bad).withColumn("__ref", F.explode_outer(F.when(F.size(references) > 0, F.col(references))))
+    per = hits.groupBy(key, F.col(path).alias("__path")).agg(
+        F.min_by(F.struct(F.col(seq).alias("__seq"), *attributes), F.col(seq)).alias("__first"),
         F.max(count).alias(count),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(F.col(references), F.array().cast("array<string>")))))).alias(references),
+        F.collect_set("__ref").alias("__refs"),
+        F.bool_or("__bad").alias("__bad"),
+    )
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("__first.__seq").alias("s"), F.col("__path").alias("p"))))
+    merged = per.groupBy(key).agg(
+        F.min_by("__first", F.col("__first.__seq")).alias("__first"),
+        F.max(count).alias(count),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("__refs", none))))).alias(references),
         F.array_distinct(F.transform(ordered, lambda x: x["p"])).alias("paths"),
+        # a flag, for a filter on the key itself would be put before the aggregations and compute each key twice
+        F.bool_and((F.col(key) != "") & ~F.col("__bad")).alias("__kept"),
     )
-    return merged.select(key, *[F.col(f"__first.{a}").alias(a) for a in attributes], count, references, "paths")
+    return merged.where("__kept").select(key, *[F.col(f"__first.{a}").alias(a) for a in attributes], count, references, "paths")
 
 
 def impute_median(df: DataFrame, col: str, into: str, by: list[str] | None = None) -> DataFrame:

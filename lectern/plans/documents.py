@@ -60,8 +60,7 @@ def keyed_upsert(spark, sf_dir):
         F.concat_ws(":", "lang", "source").alias("path"),
         F.array("source", "lang").alias("refs"),
     )
-    excluded = hits.where(F.col("source") == "src3").select("key")
-    out = merge.keyed_upsert(hits, "key", "doc_id", ["doc_id", "lang", "source"], "cites", "path", "refs", excluded)
+    out = merge.keyed_upsert(hits, "key", "doc_id", ["doc_id", "lang", "source"], "cites", "path", "refs", excluding=F.col("source") == "src3")
     return out.select("key", "doc_id", "lang", "source", "cites", F.array_join("refs", ",").alias("refs"), F.array_join("paths", ",").alias("paths"))
 
 
@@ -170,9 +169,12 @@ def _graded(spark, sf_dir) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.count("*").alias("labelled"))
     angles = F.broadcast(_angles(docs))  # one row of 20 phrases
-    first = merge.first_by(docs.withColumn("title", X.norm_title("text")).withColumn("key", F.md5("title")), ["key"], ["doc_id"])
-    t = first.join(labels, "doc_id", "left").crossJoin(angles)
-    shared, paths = scoring.overlap(F.col("title"), F.col("angles")), (1 + F.coalesce("labelled", F.lit(0))).cast("int")
+    # each title meets the angles where it is read, so that only its key and numbers are shuffled
+    titled = docs.select("doc_id", "n_chars", X.norm_title("text").alias("title")).crossJoin(angles)
+    titled = titled.select(F.md5("title").alias("key"), "doc_id", "n_chars", scoring.overlap(F.col("title"), F.col("angles")).alias("shared"))
+    first = titled.groupBy("key").agg(F.min_by(F.struct("doc_id", "n_chars", "shared"), "doc_id").alias("f")).select("f.*")
+    t = first.join(labels, "doc_id", "left")
+    shared, paths = F.col("shared"), (1 + F.coalesce("labelled", F.lit(0))).cast("int")
     year = (AS_OF - F.col("doc_id") % 12).cast("int")
     return t.select(
         "doc_id",
@@ -300,59 +302,6 @@ SELECT severity, count(*) AS n, count(*) FILTER (confirmed) AS n_confirmed, min(
 """
 
 
-def rule_engine(spark, sf_dir):
-    """Findings on documents: one array of rules, exploded; a missing label is UNVERIFIED and stops the others."""
-    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
-
-    def rule(when: Column, field: str, severity: str) -> Column:
-        return F.when(when, F.struct(F.lit(field).alias("field"), F.lit(severity).alias("severity")))
-
-    labelled = F.col("quality").isNotNull()
-    rules = F.array_compact(F.array(
-        rule(~labelled, "label", "UNVERIFIED"),
-        rule(labelled & (F.length("text") != F.col("n_chars")), "n_chars", "CRITICAL"),
-        rule(labelled & (F.col("toxic") == 1) & (F.col("quality") == 1), "labels", "MAJOR"),
-        rule(labelled & (F.length("text") < 100), "length", "MINOR"),
-        rule(labelled & F.col("text").rlike("AKIA|password"), "secret", "MAJOR"),
-    ))
-    return d.select("doc_id", F.explode(rules).alias("f")).select("doc_id", "f.*")
-
-
-RULE_ENGINE = """
-WITH j AS (SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))
-SELECT doc_id, 'label' AS field, 'UNVERIFIED' AS severity FROM j WHERE quality IS NULL
-UNION ALL SELECT doc_id, 'n_chars', 'CRITICAL' FROM j WHERE quality IS NOT NULL AND length(text) <> n_chars
-UNION ALL SELECT doc_id, 'labels', 'MAJOR' FROM j WHERE quality = 1 AND toxic = 1
-UNION ALL SELECT doc_id, 'length', 'MINOR' FROM j WHERE quality IS NOT NULL AND length(text) < 100
-UNION ALL SELECT doc_id, 'secret', 'MAJOR' FROM j WHERE quality IS NOT NULL AND regexp_matches(text, 'AKIA|password')
-"""
-
-
-def structural_union(spark, sf_dir):
-    """Structural findings of several generators, in order of severity."""
-    d, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    dup = d.groupBy(F.md5("text").alias("k")).agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n > 1")
-    parts = [
-        ("repeated-text", "MAJOR", dup.select("doc_id", F.col("n").cast("string").alias("detail"))),
-        ("orphan-label", "MINOR", labels.join(d, "doc_id", "left_anti").select("doc_id", F.lit("").alias("detail"))),
-        ("no-label", "UNVERIFIED", d.join(labels, "doc_id", "left_anti").select("doc_id", F.col("lang").alias("detail"))),
-        ("one-line", "WEAK", d.where(~F.contains("text", F.lit("\n"))).select("doc_id", F.col("source").alias("detail"))),
-    ]
-    out = None
-    for kind, severity, rows in parts:
-        rows = rows.select(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), "doc_id", "detail")
-        out = rows if out is None else out.unionByName(rows)
-    return out.orderBy(scoring.rank_of("severity", scoring.SEVERITIES), "kind", "doc_id")
-
-
-STRUCTURAL_UNION = """
-SELECT 'repeated-text' AS kind, 'MAJOR' AS severity, min(doc_id) AS doc_id, CAST(count(*) AS VARCHAR) AS detail FROM documents GROUP BY md5(text) HAVING count(*) > 1
-UNION ALL SELECT 'orphan-label', 'MINOR', doc_id, '' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
-UNION ALL SELECT 'no-label', 'UNVERIFIED', doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
-UNION ALL SELECT 'one-line', 'WEAK', doc_id, source FROM documents WHERE NOT contains(text, chr(10))
-"""
-
-
 def wilson_rule3(spark, sf_dir):
     j = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
     g = j.groupBy("lang").agg(F.count("*").alias("n"), F.sum("toxic").alias("k"))
@@ -392,18 +341,6 @@ SELECT kind, count(*) AS sentences, count(*) FILTER (length(s) - length(translat
 """
 
 
-def cite_extract(spark, sf_dir):
-    """Link targets of pages: distinct for each page, trimmed, with how many pages have them."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)), lambda h: F.trim(h)))
-    links = read(spark, sf_dir, "pages").select("page_id", F.explode(found).alias("target")).where("target <> ''")
-    return links.groupBy("target").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page"))
-
-
-CITE_EXTRACT = """
-SELECT target, count(*) AS pages, min(page_id) AS first_page FROM (SELECT DISTINCT page_id, trim(unnest(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS target FROM pages) WHERE target <> '' GROUP BY target
-"""
-
-
 def doi_route(spark, sf_dir):
     """Route of each page's URL: by number, by host, else by title key."""
     url = F.col("url")
@@ -423,7 +360,7 @@ QUERIES = {
         (ranked_sweep, RANKED_SWEEP), (norm_key_docs, NORM_KEY_DOCS), (dedupe_by_key, DEDUPE_BY_KEY), (keyed_upsert, KEYED_UPSERT),
         (source_union_except, SOURCE_UNION_EXCEPT), (documents_less_benchmark, DOCUMENTS_LESS_BENCHMARK), (engines_upsert, ENGINES_UPSERT), (median_impute_score, MEDIAN_IMPUTE_SCORE), (grade_ladder, GRADE_LADDER), (ngram_phrases, NGRAM_PHRASES),
         (sentence_first_match, SENTENCE_FIRST_MATCH), (parse_count, PARSE_COUNT), (coverage_histogram, COVERAGE_HISTOGRAM), (verdict_ladder, VERDICT_LADDER),
-        (rule_engine, RULE_ENGINE), (structural_union, STRUCTURAL_UNION), (wilson_rule3, WILSON_RULE3), (content_hash_groups, CONTENT_HASH_GROUPS),
-        (markup_filter, MARKUP_FILTER), (cite_extract, CITE_EXTRACT), (doi_route, DOI_ROUTE),
+        (wilson_rule3, WILSON_RULE3), (content_hash_groups, CONTENT_HASH_GROUPS),
+        (markup_filter, MARKUP_FILTER), (doi_route, DOI_ROUTE),
     )
 }
