@@ -46,7 +46,9 @@ def register(name: str, engine: Callable[[pd.DataFrame], pd.DataFrame]) -> None:
 
 def domain_points(domain: str, count: int = 24) -> list[Fraction]:
     """Rationals of a domain by rising magnitude: halves, thirds and wholes, without 0 and ±1, which hide errors."""
-    grid = sorted({Fraction(n, d) for d in (1, 2, 3, 5) for n in range(-60, 61)}, key=lambda q: (abs(q), q < 0))
+    # between 0 and 1 halves, thirds and fifths are seven points, so sevenths and elevenths join them
+    divisors = (1, 2, 3, 5, 7, 11) if "unit" in domain else (1, 2, 3, 5)
+    grid = sorted({Fraction(n, d) for d in divisors for n in range(-60, 61)}, key=lambda q: (abs(q), q < 0))
     return [q for q in grid if q not in (0, 1, -1) and _INSIDE[domain](q)][:count]
 
 

@@ -65,3 +65,9 @@ def test_skip_and_coverage(spark):
     found = B.check(entries, spark.createDataFrame([], "entry_key string, " + B.RECORD[7:-1]))
     assert {(r.key, r.severity) for r in found.collect()} == {("w", "SKIP"), ("n", "UNVERIFIED")}
     assert tuple(B.coverage(entries, found).first()) == (2, 0, 1, 1)
+
+
+def test_quotes_escapes_and_open_values():
+    found, problems = bibtex.parse('@article{a, author = "Lee {"q"} and B{\\"o}", t={x \\{ y}, year = 2020 }\n@string{f = "b"} @book{k,title="open')
+    assert [(k, kind, f) for k, kind, f in found] == [("a", "article", {"author": 'Lee "q" and Bö', "t": "x \\ y", "year": "2020"}), ("k", "book", {"title": "open"})]
+    assert problems == ["k: value of title is not closed"]

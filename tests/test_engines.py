@@ -28,3 +28,10 @@ def test_registered_engines(spark):
     claims, _ = E.demo_claims(spark)
     got = {(r.engine, r.outcome, r.counterexample) for r in E.run_engines(claims, ["yes", "boom"]).collect()}
     assert got == {("yes", "confirmed", ""), ("boom", "unverified", "ZeroDivisionError")}
+
+
+def test_every_rational_domain_has_points():
+    for domain in E.DOMAINS:
+        assert len(E.domain_points(domain, 8)) == 8
+    assert E.check("s", {"x": "open-unit-interval"}, "<", lambda x: (x * x, x))[0] == "not-refuted"
+    assert E.check("s", {"x": "natural"}, ">", lambda x: (x, 2 * x))[0] == "refuted"

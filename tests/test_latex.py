@@ -90,3 +90,36 @@ def test_odd_input():
     assert L.parse(None) == [] == L.parse("")
     assert [r.entity for r in L.parse(r"\begin{lemma} never closed")] == []
     assert L.parse(r"\end{proof}\begin{proof}\end{proof}")[0].extra["captured"] == "1.0000"
+
+
+def test_declarations_count_near_the_first_use_and_for_whole_symbols():
+    from lectern.parse import symbols
+
+    def domains(text):
+        return {x[0]: x[3] for x in symbols.inventory(text)}
+
+    assert domains("$x$ " + "word " * 70 + "$x > 0$") == {"x": None}
+    assert domains(r"$y_t \in [0,1]$") == {"y": "unit-interval", "t": None}
+    assert domains(r"$a, b \ge 0$") == {"a": "nonnegative", "b": "nonnegative"}
+    assert domains(r"$\ell > 0$ and $\varsigma$") == {r"\ell": "positive", r"\varsigma": None}
+
+
+def test_own_commands_are_expanded_before_parsing():
+    rows = L.parse(r"\newcommand{\bd}[1]{#1 \le 3}\begin{lemma}$x=1$.\end{lemma}\begin{proof}Hence $\bd{x}$. Suppose first that $x = 2$.\end{proof}")
+    assert [(r.kind, r.extra["relation"]) for r in rows if r.entity == "step"] == [("prose-move", r"\le"), ("case-open", "=")]
+
+
+def test_abbreviations_end_no_sentence():
+    assert len(L.sentences("By Alg. 3 and Tab. X we go. See Defn. Y too.")) == 2
+
+
+def test_direction_of_jensen(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.functions.latex import named_conditions
+
+    right, wrong = r"By Jensen for convex $f$, $f(\mathbb{E}[X]) \le \mathbb{E}[f(X)]$", r"By Jensen for convex $f$, $\mathbb{E}[f(X)] \leq f(\mathbb{E}[X])$"
+    rows = [right, wrong, wrong.replace("convex", "concave"), right.replace("convex", "concave"), right.replace(r"\le", r"\ge"), "By Jensen for convex f."]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, t string")
+    got = {r.k: list(r.c) for r in df.select("k", named_conditions(F.col("t")).alias("c")).collect()}
+    assert got == {0: [], 1: ["jensen:direction"], 2: [], 3: ["jensen:direction"], 4: ["jensen:direction"], 5: []}
