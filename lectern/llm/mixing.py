@@ -21,6 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
 MOST_COPIES = 2
+REST_WORDS = 1 << 22
 
 
 def _draw(*parts: object) -> float:
@@ -37,9 +38,12 @@ def fit_counts(sizes: list[int], counts: list[int], budget: int, seed: object =
     of lengths gives its share but for less than one document, and what is
     lacking or too much in all is less than the longest document. Documents too
     much go, and a bounded knapsack over all documents not taken, in seeded
-    order, fills the rest; it ends as soon as the budget is met exactly. If it
-    can't be, which takes few lengths, the knapsack starts again from the shares
-    rounded down, and so finds the closest sum at or above them.
+    order, fills the rest; it ends as soon as the budget is met exactly. While it
+    isn't, one document each of 16, 32, 64 and so on lengths that were rounded up,
+    in seeded order, is given back and the knapsack fills the larger rest; the
+    closest sum stays. The rounds end when all those lengths are rounded down, or
+    when the rest would exceed both REST_WORDS and twice the longest document: the
+    knapsack takes four bytes a word of the rest, however many lengths there are.
     """
     have = sum(s * c for s, c in zip(sizes, counts, strict=True))
     if budget >= have:
@@ -61,11 +65,20 @@ def fit_counts(sizes: list[int], counts: list[int], budget: int, seed: object =
         i = up.pop(next((k for k, i in enumerate(up) if sizes[i] >= -rest), -1))
         take[i] -= 1
         rest += sizes[i]
-    take, rest = _filled(sizes, counts, take, rest, seed)
-    if rest:
-        down = [c * budget // have for c in counts]
-        take, _ = _filled(sizes, counts, down, budget - sum(s * t for s, t in zip(sizes, down, strict=True)), seed)
-    return take
+    best, lacking = _filled(sizes, counts, take, rest, seed)
+    givers = sorted((i for i in order if take[i] > counts[i] * budget // have), key=lambda i: _draw(seed, "back", sizes[i])) if lacking else []
+    most, given, n = max(REST_WORDS, 2 * sizes[order[-1]]), 0, 16
+    while lacking and given < len(givers):
+        for i in givers[given:n]:
+            if rest + sizes[i] > most:
+                return best
+            take[i] -= 1
+            rest += sizes[i]
+        given, n = n, 2 * n
+        filled, short = _filled(sizes, counts, take, rest, seed)
+        if short < lacking:
+            best, lacking = filled, short
+    return best
 
 
 def _filled(sizes: list[int], counts: list[int], take: list[int], rest: int, seed: object) -> tuple[list[int], int]:
