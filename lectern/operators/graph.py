@@ -1,7 +1,8 @@
-"""Connected components, reachability and cycle membership over edge tables."""
+"""Connected components, reachability and cycles over edge tables."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,3 +74,40 @@ def reachable(edges: DataFrame, src: str = "src", dst: str = "dst", max_depth: i
 def on_cycle(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Vertices (id) that lie on a cycle of two vertices or more; self edges don't count."""
     return reachable(edges.where(F.col(src) != F.col(dst)), src, dst).where("src = dst").select(F.col("src").alias("id"))
+
+
+def _closing_paths(edges: set[tuple[str, str]]) -> list[list[str]]:
+    """One cycle for each edge that leads back into the path of a depth-first walk; vertices in ascending order."""
+    ahead: dict[str, list[str]] = {}
+    for a, b in sorted(edges, reverse=True):
+        ahead.setdefault(a, []).append(b)
+    found, seen = [], set()
+    for root in sorted(ahead):
+        todo = [(root, 0)]  # a vertex and its depth; what lies deeper than the next one has been left
+        path: list[str] = []
+        while todo:
+            at, depth = todo.pop()
+            if depth > 0 and at in path[:depth]:
+                found.append([*path[path.index(at) : depth], at])
+            elif at not in seen:
+                seen.add(at)
+                path[depth:] = [at]
+                todo += [(b, depth + 1) for b in ahead.get(at, ())]
+    return found
+
+
+def cycles(edges: DataFrame, doc: str = "doc", src: str = "src", dst: str = "target") -> DataFrame:
+    """doc, ordinal, cycle (array of vertices, the first again at the end): one for each back edge.
+
+    Self edges and null ends don't count. A document's own edges are walked in
+    one task; documents are dealt out by their key.
+    """
+    e = edges.select(F.col(doc).cast("string").alias("doc"), F.col(src).cast("string").alias("a"), F.col(dst).cast("string").alias("b"))
+    per = e.where("a is not null and b is not null and a <> b").groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("e"))
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(d, k, c) for d, own in zip(pdf["doc"], pdf["e"], strict=True) for k, c in enumerate(_closing_paths({(x["a"], x["b"]) for x in own}), 1)]
+            yield pd.DataFrame(rows, columns=["doc", "ordinal", "cycle"])
+
+    return per.mapInPandas(run, "doc string, ordinal int, cycle array<string>")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import latex as T
 from lectern.functions import text as X
-from lectern.operators import bibliography, chains, expansion, scoring
+from lectern.operators import bibliography, chains, expansion, graph, notation, scoring
 from lectern.parse import latex, symbols
 from lectern.plans.documents import NORM, read
 from lectern.sources import files, payloads
@@ -367,12 +367,88 @@ s AS (SELECT doc, '\\le' AS relation, '' AS side_conditions FROM j WHERE toxic =
 SELECT relation, side_conditions, count(*) AS n, min(doc) AS first_doc FROM s GROUP BY 1, 2
 """
 
+def claim_cycles(spark, sf_dir):
+    """Cycles of the claims of a document for each supplier: a ring of three, two that share a claim, or none."""
+    i = F.col("s_suppkey")
+    pairs = F.when(i % 3 == 0, "ab bc ca aa").when(i % 3 == 1, "ab ba bc cb").otherwise("ab aa")
+    edges = read(spark, sf_dir, "supplier").select(i.cast("string").alias("doc"), F.explode(F.split(pairs, " ")).alias("p"))
+    found = graph.cycles(edges.select("doc", F.left("p", F.lit(1)).alias("src"), F.right("p", F.lit(1)).alias("target")))
+    return found.select("doc", "ordinal", F.array_join("cycle", " -> ").alias("cycle"))
+
+
+CLAIM_CYCLES = """
+SELECT CAST(s_suppkey AS VARCHAR) AS doc, 1 AS ordinal, CASE WHEN s_suppkey % 3 = 0 THEN 'a -> b -> c -> a' ELSE 'a -> b -> a' END AS cycle FROM supplier WHERE s_suppkey % 3 < 2
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 2, 'b -> c -> b' FROM supplier WHERE s_suppkey % 3 = 1
+"""
+
+
+def notation_table(spark, sf_dir):
+    """Market segments as the symbols of each nation, by customers; those with odd numbers of customers have a domain."""
+    c = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("doc"), F.col("c_mktsegment").alias("symbol")).agg(F.count("*").alias("occurrences"))
+    return notation.frozen_symbols(c.withColumn("domain", F.when(F.col("occurrences") % 2 == 1, "real")))
+
+
+NOTATION_TABLE = """
+SELECT doc, symbol, CASE WHEN occurrences % 2 = 1 THEN 'real' ELSE 'unknown' END AS domain, occurrences, CAST(row_number() OVER (PARTITION BY doc ORDER BY occurrences DESC, symbol) AS INTEGER) AS place
+FROM (SELECT c_nationkey AS doc, c_mktsegment AS symbol, count(*) AS occurrences FROM customer GROUP BY 1, 2)
+"""
+
+
+def used_macros(spark, sf_dir):
+    """Macros that a text for each page calls, directly or through three bodies: a calls b, b calls c, and so on to e; x stands alone."""
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc"))
+    table = F.map_from_arrays(F.array(*map(F.lit, "abcdex")), F.array(*[F.lit(f"\\{n} + 1") for n in "bcde"], F.lit("1"), F.lit("2")))
+    text = F.when(F.col("doc") % 4 == 0, r"$\a$").when(F.col("doc") % 4 == 1, r"$\c\x$").when(F.col("doc") % 4 == 2, " ").otherwise(r"$\zz$")
+    return notation.used_macros(pages.select("doc", F.explode(table).alias("name", "body")), pages.select("doc", text.alias("text"))).select("doc", "name")
+
+
+USED_MACROS = """
+SELECT page_id AS doc, unnest(CASE page_id % 4 WHEN 0 THEN ['a', 'b', 'c', 'd'] WHEN 1 THEN ['c', 'd', 'e', 'x'] WHEN 2 THEN ['a', 'b', 'c', 'd', 'e', 'x'] ELSE [] END) AS name FROM pages
+"""
+
+
+def seed_notes(spark, sf_dir):
+    """Notes on a sentence for each document that states seeds in figures, in a word, one by number, or none."""
+    i = F.col("doc_id")
+    quote = F.when(i % 4 == 0, _text("We use ", i, " seeds.")).when(i % 4 == 1, "Over Three  seeds").when(i % 4 == 2, _text("with random seed ", i)).otherwise("No seedset 0")
+    return read(spark, sf_dir, "documents").select("doc_id", notation.seed_note(quote).alias("note"))
+
+
+SEED_NOTES = f"""
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CAST(doc_id AS VARCHAR) || '{notation.SEVERAL}' WHEN 1 THEN '3{notation.SEVERAL}' WHEN 2 THEN '{notation.SINGLE}' ELSE '' END AS note FROM documents
+"""
+
+
+def step_report(spark, sf_dir):
+    """Documents as steps, labelled ones with a proof and a verdict, toxic ones with a finding."""
+    i, labels = F.col("doc_id"), _labels(spark, sf_dir)
+    steps = read(spark, sf_dir, "documents").select(_text("s", i).alias("id"), _text("p", i).alias("proof_id"), F.col("lang").alias("kind"))
+    proofs = labels.select(_text("p", i).alias("id"), _text("c", i).alias("claim_id"))
+    verdicts = labels.select(
+        _text("s", i).alias("step"), F.array(F.lit("rational"), F.lit("smt")).alias("engines"), F.lit("WEAK").alias("severity"),
+        (F.col("quality") == 1).alias("confirmed"), F.lit("two\nlines").alias("detail"), F.lit(None).cast("array<string>").alias("scripts"),
+    )
+    none = F.lit(None).cast("string")
+    findings = labels.where("toxic = 1").select(_text("c", i).alias("claim"), none.alias("proof"), none.alias("step"), F.lit("hedge").alias("kind"), none.alias("engine"), F.lit("MINOR").alias("severity"), none.alias("detail"), none.alias("script"))
+    return notation.report_rows(steps, proofs, verdicts, findings)
+
+
+STEP_REPORT = f"""
+WITH {_LABELS}
+SELECT CASE WHEN l.doc_id IS NULL THEN '' ELSE 'c' || d.doc_id END AS claim, 'p' || d.doc_id AS proof, 's' || d.doc_id AS step, coalesce(d.lang, '') AS kind,
+  CASE WHEN l.doc_id IS NULL THEN '' ELSE 'rational,smt' END AS engine, CASE WHEN l.doc_id IS NULL THEN '' WHEN quality = 1 THEN 'confirmed' ELSE 'WEAK' END AS verdict,
+  CASE WHEN l.doc_id IS NULL THEN '' ELSE 'WEAK' END AS severity, CASE WHEN l.doc_id IS NULL THEN '' ELSE 'two lines' END AS detail, '' AS script
+FROM documents d LEFT JOIN l USING (doc_id)
+UNION ALL SELECT 'c' || doc_id, '', '', 'hedge', '', 'finding', 'MINOR', '', '' FROM l WHERE toxic = 1
+"""
+
+
 QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
         (rule_engine, RULE_ENGINE), (bib_coverage, BIB_COVERAGE), (structural_union, STRUCTURAL_UNION), (cite_extract, CITE_EXTRACT), (citation_audit, CITATION_AUDIT),
         (cited_entries, CITED_ENTRIES), (record_fields, RECORD_FIELDS), (tex_fields, TEX_FIELDS), (lookup_ladder, LOOKUP_LADDER), (candidate_seeds, CANDIDATE_SEEDS), (discovered, DISCOVERED),
         (gap_report, GAP_REPORT), (symbol_collisions, SYMBOL_COLLISIONS), (condition_status, CONDITION_STATUS), (blocked_symbols, BLOCKED_SYMBOLS), (domains_known, DOMAINS_KNOWN),
-        (worst_severity, WORST_SEVERITY), (macro_expansion, MACRO_EXPANSION),
+        (worst_severity, WORST_SEVERITY), (macro_expansion, MACRO_EXPANSION), (claim_cycles, CLAIM_CYCLES), (notation_table, NOTATION_TABLE), (used_macros, USED_MACROS), (seed_notes, SEED_NOTES), (step_report, STEP_REPORT),
     )
 }
