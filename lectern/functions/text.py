@@ -63,6 +63,8 @@ def _latin() -> tuple[str, str]:
 
 
 _MARKED, _BARE = _latin()
+# Fixed value: anything but a-z, 0-9 and spaces. The same class negated, [^a-z0-9 ], takes Java's matcher twenty times as long.
+NOT_KEY = r"[\x00-\x1f!-/:-`{-\x{10ffff}]+"
 _COMMAND = re.compile("\\\\([" + re.escape("".join(ACCENTS)) + "])\\s*\\{?([A-Za-z])\\}?")
 
 
@@ -106,7 +108,7 @@ def fold(col: Column | str) -> Column:
 def norm_title(col: Column | str, folded: bool = False) -> Column:
     """The identity key of titles: folded, anything but a-z, 0-9 and spaces dropped. folded: col has been folded."""
     f = _c(col) if folded else fold(col)
-    return F.trim(F.regexp_replace(F.regexp_replace(f, "[^a-z0-9 ]+", " "), " +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(f, NOT_KEY, " "), " +", " "))
 
 
 def split_authors(col: Column | str) -> Column:

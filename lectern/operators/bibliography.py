@@ -64,7 +64,10 @@ def check(entries: DataFrame, records: DataFrame) -> DataFrame:
     skip = F.col("etype").isin("misc", "online", "electronic", "unpublished") & ~has_arxiv_identity() & (_field("doi") == "")
     unresolved = F.exists("recs", lambda x: F.coalesce(x["venue"] == UNRESOLVED, F.lit(False)))
     found = F.size("usable") > 0
-    bt, rt = X.norm_title("b_title"), X.norm_title(F.coalesce("rec.title", F.lit("")))
+    # columns, for an expression would be worked out anew wherever a rule names it; null without a record, where no rule reads them
+    e = e.withColumn("bt", F.when(found, X.norm_title("b_title")))
+    e = e.withColumn("rt", F.when(found, F.when(F.trim("rec.title") == F.col("b_title"), F.col("bt")).otherwise(X.norm_title(F.coalesce("rec.title", F.lit(""))))))
+    bt, rt = F.col("bt"), F.col("rt")
     other_title = (bt != "") & (rt != "") & (bt != rt)
     go = ~skip & found & ~(other_title & ~strong)
     official = F.filter("usable", lambda x: F.coalesce(x["strong"], F.lit(False)) & ~is_preprint(x["venue"]) & x["year"].isNotNull())
@@ -73,7 +76,8 @@ def check(entries: DataFrame, records: DataFrame) -> DataFrame:
     wrong_year = by.isNotNull() & (F.size(official) > 0) & ~F.exists(years, lambda y: F.abs(y - by) <= 1)
     volume = X.usable_volume("rec.volume")
     vb, vr = X.norm_title("b_venue"), X.norm_title(F.coalesce("rec.venue", F.lit("")))
-    published = F.filter("usable", lambda x: ~is_preprint(x["venue"]) & (F.coalesce(x["venue"], F.lit("")) != "") & (F.coalesce(x["strong"], F.lit(False)) | (x["source"] == "dblp")) & (X.norm_title(x["title"]) == bt))
+    candidates = F.when(cites_preprint(), F.col("usable")).otherwise(none)
+    published = F.filter(candidates, lambda x: ~is_preprint(x["venue"]) & (F.coalesce(x["venue"], F.lit("")) != "") & (F.coalesce(x["strong"], F.lit(False)) | (x["source"] == "dblp")) & (X.norm_title(x["title"]) == bt))
     year_as_volume = (F.col("etype") == "inproceedings") & F.col("b_volume").rlike("^[0-9]{4}$") & by.isNotNull() & (F.abs(F.col("b_volume").try_cast("int") - by) <= 1)
     year_as_volume &= ~F.exists("usable", lambda x: X.usable_volume(x["volume"]).isNotNull())
 
@@ -99,7 +103,7 @@ def check(entries: DataFrame, records: DataFrame) -> DataFrame:
         rule(go & strong & (F.col("b_pages") != "") & (X.page_range("rec.pages") != "") & (X.page_range("b_pages") != X.page_range("rec.pages")), "pages", X.page_range("b_pages"), X.page_range("rec.pages"), "MAJOR"),
         rule(go & year_as_volume, "volume", F.col("b_volume"), F.lit("the year of publication, not a volume"), "MINOR"),
         rule(go & strong & ~is_preprint(F.col("rec.venue")) & (vb != "") & (vr != "") & ~F.contains(vr, vb) & ~F.contains(vb, vr), "venue", F.col("b_venue"), F.col("rec.venue"), "MAJOR"),
-        rule(go & cites_preprint() & (F.size(published) > 0), "preprint", F.col("b_venue"), F.get(published, F.lit(0))["venue"], "MINOR", F.coalesce(F.get(published, F.lit(0))["source"], F.lit("-"))),
+        rule(go & (F.size(published) > 0), "preprint", F.col("b_venue"), F.get(published, F.lit(0))["venue"], "MINOR", F.coalesce(F.get(published, F.lit(0))["source"], F.lit("-"))),
     ]
     e = e.withColumn("findings", F.array_compact(F.array(*rules)))
     last = rule(~skip & found & ~strong & (F.size("findings") == 0), "entry", blank, F.lit("title-search match only"), "WEAK")

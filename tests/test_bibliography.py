@@ -1,5 +1,7 @@
 """BibTeX parsing and the bibliography's rules."""
 
+import re
+
 import pytest
 
 from lectern.operators import bibliography as B
@@ -71,3 +73,16 @@ def test_quotes_escapes_and_open_values():
     found, problems = bibtex.parse('@article{a, author = "Lee {"q"} and B{\\"o}", t={x \\{ y}, year = 2020 }\n@string{f = "b"} @book{k,title="open')
     assert [(k, kind, f) for k, kind, f in found] == [("a", "article", {"author": 'Lee "q" and Bö', "t": "x \\ y", "year": "2020"}), ("k", "book", {"title": "open"})]
     assert problems == ["k: value of title is not closed"]
+
+
+def test_a_title_is_folded_once(spark):
+    entries = spark.createDataFrame([("k", "article", BASE)], "key string, etype string, fields map<string,string>")
+    records = spark.createDataFrame([("k", *REC.values())], "entry_key string, " + B.RECORD[7:-1])
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = B.check(entries, records)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", before)
+    assert plan.count("translate(b_title#") == 1
+    assert len(re.findall(r"translate\(coalesce\(rec#\d+\.title", plan)) == 1

@@ -76,3 +76,9 @@ def test_content_hash_ignores_layout(spark):
     a = one(spark, X.content_hash("c0", "c1"), "a  b\n", None)
     assert a == one(spark, X.content_hash("c0", "c1"), " a b", "") != one(spark, X.content_hash("c0", "c1"), "ab", "")
     assert one(spark, F.lit(len(a)), "") == 16
+
+
+def test_key_keeps_letters_digits_and_spaces_alone(spark):
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    kept = spark.createDataFrame([(every,)], "t string").select(F.regexp_replace("t", X.NOT_KEY, "").alias("k")).first().k
+    assert kept == " 0123456789abcdefghijklmnopqrstuvwxyz"
