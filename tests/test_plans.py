@@ -35,3 +35,8 @@ def test_scans_read_what_they_need(spark):
 def test_first_aggregations_combine_before_the_shuffle(spark):
     text = plan(catalogue.queries()["keyed_upsert"](spark, SF))
     assert "partial_min_by" in text
+
+
+@pytest.mark.parametrize("name", ["rule_engine"])
+def test_records_are_grouped_where_labels_met_them(spark, name):
+    assert not re.search(r"hashpartitioning\((entry_key|cast\(doc_id)", plan(catalogue.queries()[name](spark, SF)))
