@@ -37,6 +37,6 @@ def test_first_aggregations_combine_before_the_shuffle(spark):
     assert "partial_min_by" in text
 
 
-@pytest.mark.parametrize("name", ["rule_engine"])
+@pytest.mark.parametrize("name", ["rule_engine", "worst_severity"])
 def test_records_are_grouped_where_labels_met_them(spark, name):
     assert not re.search(r"hashpartitioning\((entry_key|cast\(doc_id)", plan(catalogue.queries()[name](spark, SF)))
