@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,6 +46,8 @@ FRAME_IDS = rangecoder.BLOCK - (1 << 14)
 HELD_IDS = FRAME_IDS * (rangecoder.LANES // rangecoder.STRANDS)
 #: Words and pre-tokens in a worker's tables, which outlive its tasks, before they are emptied.
 WORD_TABLE, PIECE_TABLE = 1_000_000, 600_000
+#: Characters whose words are looked up together: more share more of their words.
+TEXT_CHARS = 4_000_000
 #: Bytes of input files for each partition of ids, and the number of partitions from which they grow instead. Memory
 #: is bounded by HELD_IDS and the sort's spilling, not by a partition's size.
 PARTITION_BYTES, MOST_PARTITIONS = 16 << 20, 100_000
@@ -127,11 +130,26 @@ class Words:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids (uint32, little-endian) of each text."""
-        cut = [utf8(t).lower().split() if self.lower else utf8(t).split() for t in texts]
+        if not texts:
+            return []
+        whole = pa.array([utf8(t) for t in texts], pa.large_binary()).view(pa.large_string())
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(whole) if self.lower else whole)
+        # only distinct words become Python's; white space at a text's ends leaves empty ones
+        words = cut.flatten().dictionary_encode()
+        distinct = words.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
         if len(self.words) > WORD_TABLE:
             self.words.clear()
-        self._learn(set().union(*cut).difference(self.words))
-        return [b"".join(map(self.words.__getitem__, c)) for c in cut]
+        self.words[b""] = b""
+        ids = list(map(self.words.get, distinct))
+        new = [k for k, x in enumerate(ids) if x is None]
+        if new:
+            self._learn({distinct[k] for k in new})
+            for k in new:
+                ids[k] = self.words[distinct[k]]
+        each = pa.array(ids, pa.large_binary()).take(words.indices)
+        raw = memoryview(each.buffers()[2] or b"")
+        ends = np.frombuffer(each.buffers()[1], "<i8", len(each) + 1)[cut.offsets.to_numpy()].tolist()
+        return [bytes(raw[a:z]) for a, z in zip(ends, ends[1:], strict=False)]
 
     def _learn(self, fresh: set[bytes]) -> None:
         """Put words into the table."""
@@ -141,15 +159,14 @@ class Words:
             if self.special(b" ".join(plain).decode()):
                 plain = [w for w in plain if not self.special(w.decode())]
             self.words.update(zip(plain, self._cut(b" ".join(plain).decode()), strict=True) if plain else ())
-            latin, spelt = [], []
-            for w in fresh.difference(plain):
-                text = w.decode().lower()
-                if max(text) < chr(LATIN) and not self.special(text):
-                    latin.append(w)
-                    spelt.append(text)
-                else:
-                    odd.append(w)
-            self.words.update(zip(latin, self._cut(" ".join(spelt)), strict=True) if latin else ())
+            latin = list(fresh.difference(plain))
+            spelt = b" ".join(latin).decode().lower()
+            if latin and (max(spelt) >= chr(LATIN) or self.special(spelt)):
+                known = [max(t) < chr(LATIN) and not self.special(t) for t in spelt.split(" ")]
+                odd = [w for w, k in zip(latin, known, strict=True) if not k]
+                spelt = " ".join(t for t, k in zip(spelt.split(" "), known, strict=True) if k)
+                latin = [w for w, k in zip(latin, known, strict=True) if k]
+            self.words.update(zip(latin, self._cut(spelt), strict=True) if latin else ())
         else:
             odd = list(fresh)
         for w, e in zip(odd, self.whole.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False), strict=True):
@@ -182,14 +199,20 @@ def tokenize(path: str, texts: list[str | None], end: int | None = None) -> list
     return [ids + last for ids in Words.of(path).encode(texts)]
 
 
-def pack_frames(doc_ids: list[int | None], ids: list[bytes], frame_ids: int = FRAME_IDS, block: int = rangecoder.BLOCK) -> list[tuple[int, int, bytes]]:
-    """(documents, ids, bytes) of each frame."""
-    bounds, size = [0], 0
+def closed(ids: list[bytes], frame_ids: int) -> list[int]:
+    """Places after the last document of each frame that these documents fill."""
+    bounds, size = [], 0
     for k, x in enumerate(ids):
         size += len(x) // 4
         if size >= frame_ids:
             bounds.append(k + 1)
             size = 0
+    return bounds
+
+
+def pack_frames(doc_ids: list[int | None], ids: list[bytes], frame_ids: int = FRAME_IDS, block: int = rangecoder.BLOCK) -> list[tuple[int, int, bytes]]:
+    """(documents, ids, bytes) of each frame."""
+    bounds = [0, *closed(ids, frame_ids)]
     if bounds[-1] < len(ids):
         bounds.append(len(ids))
     frames, blocks = [], []
@@ -255,10 +278,12 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end: int | None = 1,
         held: list[bytes] = []
         size = 0
 
-        def flush():
-            nonlocal frame, before
-            packed = pack_frames(keys, held, frame_ids, block)
+        def flush(docs):
+            nonlocal frame, before, size
+            packed = pack_frames(keys[:docs], held[:docs], frame_ids, block)
+            del keys[:docs], held[:docs]
             for n, ids, data in packed:
+                size -= ids
                 arrays = [pa.array([part], pa.int32()), pa.array([frame], pa.int32()), pa.array([n], pa.int64()), pa.array([ids], pa.int64()), pa.array([before], pa.int64()), pa.array([data], pa.binary())]
                 frame += 1
                 before += ids
@@ -266,18 +291,20 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end: int | None = 1,
 
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, z in slices(texts):
+            for a, z in slices(texts, TEXT_CHARS):
                 new = tokenize(tokenizer_path, texts[a:z], end)
                 keys += ids[a:z]
                 held += new
                 size += sum(map(len, new)) // 4
-                if size >= HELD_IDS:
-                    yield from flush()
-                    keys.clear()
-                    held.clear()
-                    size = 0
+                # frames that advance together, and full ones alone: a call for a few of them takes nearly as many steps
+                while size >= HELD_IDS:
+                    total = np.cumsum([len(x) // 4 for x in held])
+                    ready = [z for z in closed(held, frame_ids) if total[z - 1] >= HELD_IDS]
+                    if not ready:
+                        break
+                    yield from flush(ready[0])
         if keys:
-            yield from flush()
+            yield from flush(len(keys))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(rows.sparkSession.sparkContext.defaultParallelism, min(MOST_PARTITIONS, -(-input_bytes(rows) // PARTITION_BYTES)))

@@ -105,3 +105,27 @@ def test_small_files_come_in_order(spark):
     for r in spark.read.parquet(path).collect():
         ids = [d for own, _ in token_io.unpack_frames([bytes(r.data)]) for d in own]
         assert ids == list(range(ids[0], ids[0] + r.n_docs))
+
+
+def test_a_repeated_word_is_looked_up_once():
+    class Table(dict):
+        looked = 0
+
+        def get(self, *key):
+            Table.looked += 1
+            return dict.get(self, *key)
+
+        def __getitem__(self, key):
+            Table.looked += 1
+            return dict.__getitem__(self, key)
+
+    words = token_io.Words(PATH)
+    words.words = Table()
+    texts = ["One two\x0bone  ", None, "", "\tTWO one"] * 50
+    got = words.encode(texts)
+    assert Table.looked < 10
+    assert [list(np.frombuffer(x, "<u4")) for x in got] == [words.whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_open_frames_wait():
+    assert token_io.closed([bytes(4 * n) for n in (3, 0, 1, 9, 2, 1)], 4) == [3, 4]
