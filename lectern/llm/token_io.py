@@ -46,8 +46,10 @@ FRAME_IDS = rangecoder.BLOCK - (1 << 14)
 HELD_IDS = FRAME_IDS * (rangecoder.LANES // rangecoder.STRANDS)
 #: Words and pre-tokens in a worker's tables, which outlive its tasks, before they are emptied.
 WORD_TABLE, PIECE_TABLE = 1_000_000, 600_000
+#: Pre-tokens in a string that goes to the library; longer strings take it longer for each.
+LINE = 64
 #: Characters whose words are looked up together: more share more of their words.
-TEXT_CHARS = 4_000_000
+TEXT_CHARS = 8_000_000
 #: Bytes of input files for each partition of ids, and the number of partitions from which they grow instead. Memory
 #: is bounded by HELD_IDS and the sort's spilling, not by a partition's size.
 PARTITION_BYTES, MOST_PARTITIONS = 16 << 20, 100_000
@@ -182,7 +184,8 @@ class Words:
         fresh = list(set(pieces).difference(table))
         if fresh:
             spelt = [p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode())) for p in fresh]
-            ids = np.array(self.bare.encode_batch_fast([" ".join(spelt)], add_special_tokens=False)[0].ids, "<u4")
+            lines = [" ".join(spelt[k : k + LINE]) for k in range(0, len(spelt), LINE)]
+            ids = np.array([i for e in self.bare.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], "<u4")
             ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             raw = ids.tobytes()
             table.update(zip(fresh, [raw[a:z] for a, z in zip([0, *ends], ends, strict=False)], strict=True))
@@ -289,20 +292,33 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end: int | None = 1,
                 before += ids
                 yield pa.RecordBatch.from_arrays(arrays, ["part", "frame", "n_docs", "n_ids", "before", "data"])
 
+        waiting: list[str | None] = []
+        chars = 0
+
+        def encode():
+            nonlocal size, chars
+            new = tokenize(tokenizer_path, waiting, end)
+            waiting.clear()
+            chars = 0
+            held.extend(new)
+            size += sum(map(len, new)) // 4
+            # frames that advance together, and full ones alone: a call for a few of them takes nearly as many steps
+            while size >= HELD_IDS:
+                total = np.cumsum([len(x) // 4 for x in held])
+                ready = [z for z in closed(held, frame_ids) if total[z - 1] >= HELD_IDS]
+                if not ready:
+                    break
+                yield from flush(ready[0])
+
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, z in slices(texts, TEXT_CHARS):
-                new = tokenize(tokenizer_path, texts[a:z], end)
+            for a, z in slices(texts):
                 keys += ids[a:z]
-                held += new
-                size += sum(map(len, new)) // 4
-                # frames that advance together, and full ones alone: a call for a few of them takes nearly as many steps
-                while size >= HELD_IDS:
-                    total = np.cumsum([len(x) // 4 for x in held])
-                    ready = [z for z in closed(held, frame_ids) if total[z - 1] >= HELD_IDS]
-                    if not ready:
-                        break
-                    yield from flush(ready[0])
+                waiting += texts[a:z]
+                chars += sum(len(t) for t in texts[a:z] if t)
+                if chars >= TEXT_CHARS:
+                    yield from encode()
+        yield from encode()
         if keys:
             yield from flush(len(keys))
 
