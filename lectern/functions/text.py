@@ -65,6 +65,8 @@ def _latin() -> tuple[str, str]:
 _MARKED, _BARE = _latin()
 # Fixed value: anything but a-z, 0-9 and spaces. The same class negated, [^a-z0-9 ], takes Java's matcher twenty times as long.
 NOT_KEY = r"[\x00-\x1f!-/:-`{-\x{10ffff}]+"
+# Fixed value: what NOT_KEY names, and spaces.
+_BETWEEN_WORDS = r"[\x00-/:-`{-\x{10ffff}]+"
 _COMMAND = re.compile("\\\\([" + re.escape("".join(ACCENTS)) + "])\\s*\\{?([A-Za-z])\\}?")
 
 
@@ -99,16 +101,24 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _bare(col: Column) -> Column:
+    """fold() before the ends are trimmed."""
+    marked = F.translate(col, _MARKED + PLAIN_FROM, _BARE + PLAIN_TO)
+    return F.replace(F.lower(F.regexp_replace(marked, r"\p{M}+", "")), F.lit("ß"), F.lit("ss"))
+
+
 def fold(col: Column | str) -> Column:
     """fold_text() by built-in functions, exact for Latin letters without LaTeX and HTML markup."""
-    marked = F.translate(_c(col), _MARKED + PLAIN_FROM, _BARE + PLAIN_TO)
-    return F.trim(F.regexp_replace(F.replace(F.lower(F.regexp_replace(marked, r"\p{M}+", "")), F.lit("ß"), F.lit("ss")), r"^\s+|\s+$", ""))
+    return F.trim(F.regexp_replace(_bare(_c(col)), r"^\s+|\s+$", ""))
 
 
 def norm_title(col: Column | str, folded: bool = False) -> Column:
     """The identity key of titles: folded, anything but a-z, 0-9 and spaces dropped. folded: col has been folded."""
-    f = _c(col) if folded else fold(col)
-    return F.trim(F.regexp_replace(F.regexp_replace(f, NOT_KEY, " "), " +", " "))
+    f = _c(col)
+    if not folded:
+        # in ASCII folding changes but capitals and characters that no key has
+        f = F.when(F.octet_length(f) == F.char_length(f), F.lower(f)).otherwise(_bare(f))
+    return F.trim(F.regexp_replace(f, _BETWEEN_WORDS, " "))
 
 
 def split_authors(col: Column | str) -> Column:

@@ -16,6 +16,7 @@ PREPRINT = r"(?i)arxiv|corr\b|preprint|biorxiv|ssrn"
 REPORT_ORDER = ("CRITICAL", "MAJOR", "MINOR", "WEAK", "UNVERIFIED", "SKIP")
 
 RECORD = "struct<rung:int,title:string,authors:array<string>,venue:string,year:int,volume:string,issue:string,pages:string,doi:string,source:string,strong:boolean>"
+RECORD_FIELDS = tuple(f.split(":")[0] for f in RECORD[7:-1].replace("array<string>", "x").split(","))
 
 
 def is_preprint(venue: Column) -> Column:
@@ -41,14 +42,22 @@ def check(entries: DataFrame, records: DataFrame) -> DataFrame:
     """Findings (key, field, in_bib, in_record, source, severity) on entries (key, etype, fields).
 
     records: entry_key and the fields of RECORD, rung giving the order in which
-    sources were asked. Records are grouped by entry, then all rules are one
+    sources were asked. Records are grouped by entry, then findings() has the rules.
+    """
+    r = records.groupBy(F.col("entry_key").alias("key")).agg(F.array_sort(F.collect_list(F.struct(*RECORD_FIELDS))).alias("recs"))
+    return findings(entries.join(r, "key", "left"))
+
+
+def findings(entries: DataFrame) -> DataFrame:
+    """What check() returns, on entries (key, etype, fields, recs) that have met their records.
+
+    recs: structs of RECORD in the order of their rungs, or null. All rules are one
     array of conditional structs, exploded. Later rules are guarded by the
     conditions that stop the ladder. An entry without records is UNVERIFIED; a
     lookup by title alone never gives more than WEAK.
     """
-    r = records.groupBy(F.col("entry_key").alias("key")).agg(F.array_sort(F.collect_list(F.struct(*[f.split(":")[0] for f in RECORD[7:-1].replace("array<string>", "x").split(",")]))).alias("recs"))
     none = F.array().cast(f"array<{RECORD}>")
-    e = entries.join(r, "key", "left").withColumn("recs", F.coalesce(F.col("recs").cast(f"array<{RECORD}>"), none))
+    e = entries.withColumn("recs", F.coalesce(F.col("recs").cast(f"array<{RECORD}>"), none))
     e = e.withColumn("usable", F.filter("recs", lambda x: ~F.coalesce(x["venue"] == UNRESOLVED, F.lit(False))))
     strong_ones = F.filter("usable", lambda x: F.coalesce(x["strong"], F.lit(False)))
     e = e.withColumn("rec", F.coalesce(F.try_element_at(strong_ones, F.lit(1)), F.try_element_at("usable", F.lit(1))))
@@ -64,11 +73,14 @@ def check(entries: DataFrame, records: DataFrame) -> DataFrame:
     skip = F.col("etype").isin("misc", "online", "electronic", "unpublished") & ~has_arxiv_identity() & (_field("doi") == "")
     unresolved = F.exists("recs", lambda x: F.coalesce(x["venue"] == UNRESOLVED, F.lit(False)))
     found = F.size("usable") > 0
-    # columns, for an expression would be worked out anew wherever a rule names it; null without a record, where no rule reads them
-    e = e.withColumn("bt", F.when(found, X.norm_title("b_title")))
-    e = e.withColumn("rt", F.when(found, F.when(F.trim("rec.title") == F.col("b_title"), F.col("bt")).otherwise(X.norm_title(F.coalesce("rec.title", F.lit(""))))))
+    # columns, for an expression would be worked out anew wherever a rule names it; folding is most of the work, so titles are folded
+    # where they differ or a record of the same title is looked for, and null elsewhere: no rule reads them there
+    e = e.withColumn("same", F.coalesce(F.trim("rec.title") == F.col("b_title"), F.lit(False)))
+    same = F.col("same")
+    e = e.withColumn("bt", F.when(found & (~same | cites_preprint()), X.norm_title("b_title")))
+    e = e.withColumn("rt", F.when(found & ~same, X.norm_title(F.coalesce("rec.title", F.lit("")))))
     bt, rt = F.col("bt"), F.col("rt")
-    other_title = (bt != "") & (rt != "") & (bt != rt)
+    other_title = ~same & (bt != "") & (rt != "") & (bt != rt)
     go = ~skip & found & ~(other_title & ~strong)
     official = F.filter("usable", lambda x: F.coalesce(x["strong"], F.lit(False)) & ~is_preprint(x["venue"]) & x["year"].isNotNull())
     years = F.transform(official, lambda x: x["year"])

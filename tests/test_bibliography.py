@@ -2,10 +2,13 @@
 
 import re
 
+import duckdb
 import pytest
 
+from lectern import catalogue
 from lectern.operators import bibliography as B
 from lectern.parse import bibtex
+from oracle import compare
 
 TEXT = r"""
 @string{x = "y"}
@@ -86,3 +89,23 @@ def test_a_title_is_folded_once(spark):
         spark.conf.set("spark.sql.debug.maxToStringFields", before)
     assert plan.count("translate(b_title#") == 1
     assert len(re.findall(r"translate\(coalesce\(rec#\d+\.title", plan)) == 1
+
+
+def test_equal_titles_are_not_folded(spark):
+    entries = spark.createDataFrame([("k", "article", BASE)], "key string, etype string, fields map<string,string>")
+    records = spark.createDataFrame([("k", *REC.values())], "entry_key string, " + B.RECORD[7:-1])
+    plan = B.check(entries, records)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"CASE WHEN \(\(size\(usable#\d+, \w+\) > 0\) AND \(?NOT same#", plan)) == 2, plan
+
+
+@pytest.mark.parametrize("name", ["rule_engine"])
+def test_a_repeated_document_meets_its_own_record(spark, tmp_path, name):
+    docs = [(1, "One", "src0"), (1, "Another", "src1"), (2, "Two", "src0"), (2, "Two", "src0"), (3, " 'Thrée ", None), (3, "!", "src3"), (4, "four", "src1"), (None, "five", "src2")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(1, 1, 0), (2, 0, 0), (2, 0, 1), (3, 0, 1), (None, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for table in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    got, want = compare(catalogue.queries()[name](spark, str(tmp_path)), con, catalogue.oracle_sql()[name])
+    assert got == want

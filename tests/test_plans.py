@@ -40,3 +40,10 @@ def test_first_aggregations_combine_before_the_shuffle(spark):
 @pytest.mark.parametrize("name", ["rule_engine", "worst_severity"])
 def test_records_are_grouped_where_labels_met_them(spark, name):
     assert not re.search(r"hashpartitioning\((entry_key|cast\(doc_id)", plan(catalogue.queries()[name](spark, SF)))
+
+
+@pytest.mark.parametrize("name", ["rule_engine"])
+def test_texts_meet_labels_once_and_unsorted(spark, name):
+    text = plan(catalogue.queries()[name](spark, SF))
+    assert len(re.findall(r"ReadSchema: struct<[^>]*\btext:string", text)) == 1
+    assert "SortMergeJoin" not in text and "collect_list" not in text

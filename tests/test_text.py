@@ -1,5 +1,7 @@
 """Scalar functions on given cases."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +84,8 @@ def test_key_keeps_letters_digits_and_spaces_alone(spark):
     every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     kept = spark.createDataFrame([(every,)], "t string").select(F.regexp_replace("t", X.NOT_KEY, "").alias("k")).first().k
     assert kept == " 0123456789abcdefghijklmnopqrstuvwxyz"
+
+
+@pytest.mark.parametrize("raw", ["", " \n", "A~b`C", "\ta, (b) -  C\u00a0", "É\u0301tude: ß Ünï\u2019s K", "x\u20ac y", "Ƶ İ"])
+def test_title_keys_in_ascii_and_beyond(spark, raw):
+    assert one(spark, X.norm_title("c0"), raw) == " ".join(re.findall("[a-z0-9]+", X.fold_text(raw)))
