@@ -121,6 +121,17 @@ def norm_title(col: Column | str, folded: bool = False) -> Column:
     return F.trim(F.regexp_replace(f, _BETWEEN_WORDS, " "))
 
 
+def beyond(a: Column | str, b: Column | str) -> Column:
+    """What the longer of two strings has after the other, where it begins with it and that has an ASCII letter or digit; else null.
+
+    norm_title() of both then differs where that of the rest isn't empty: folding goes
+    character by character, and a letter or digit more is one that the other key lacks.
+    """
+    a, b = _c(a), _c(b)
+    rest = lambda x, y: F.when(F.startswith(x, y) & y.rlike("[A-Za-z0-9]"), F.substr(x, F.char_length(y) + 1))
+    return F.coalesce(rest(a, b), rest(b, a))
+
+
 def split_authors(col: Column | str) -> Column:
     parts = F.split(F.trim(_c(col)), r"\s+and\s+")
     return F.filter(F.transform(parts, lambda p: F.regexp_replace(F.trim(p), ",+$", "")), lambda p: p != "")

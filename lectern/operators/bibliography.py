@@ -61,9 +61,8 @@ def findings(entries: DataFrame) -> DataFrame:
     e = e.withColumn("usable", F.filter("recs", lambda x: ~F.coalesce(x["venue"] == UNRESOLVED, F.lit(False))))
     strong_ones = F.filter("usable", lambda x: F.coalesce(x["strong"], F.lit(False)))
     e = e.withColumn("rec", F.coalesce(F.try_element_at(strong_ones, F.lit(1)), F.try_element_at("usable", F.lit(1))))
-    for name in ("title", "author", "year", "volume", "number", "pages"):
-        e = e.withColumn(f"b_{name}", F.trim(_field(name)))
-    e = e.withColumn("b_venue", F.when(_field("journal") != "", _field("journal")).otherwise(_field("booktitle")))
+    b_venue = F.when(_field("journal") != "", _field("journal")).otherwise(_field("booktitle"))
+    e = e.withColumns({f"b_{name}": F.trim(_field(name)) for name in ("title", "author", "year", "volume", "number", "pages")} | {"b_venue": b_venue})
     strong = F.coalesce(F.col("rec.strong"), F.lit(False))
     source = F.coalesce(F.col("rec.source"), F.lit("-"))
     e = e.withColumn("names", F.when(F.col("b_author") != "", X.split_authors("b_author")).otherwise(F.array().cast("array<string>")))
@@ -74,13 +73,17 @@ def findings(entries: DataFrame) -> DataFrame:
     unresolved = F.exists("recs", lambda x: F.coalesce(x["venue"] == UNRESOLVED, F.lit(False)))
     found = F.size("usable") > 0
     # columns, for an expression would be worked out anew wherever a rule names it; folding is most of the work, so titles are folded
-    # where they differ or a record of the same title is looked for, and null elsewhere: no rule reads them there
+    # where they differ or a record of the same title is looked for, and null elsewhere: no rule reads them there. Where one
+    # title goes on from the other, what it has beyond that is folded alone
     e = e.withColumn("same", F.coalesce(F.trim("rec.title") == F.col("b_title"), F.lit(False)))
     same = F.col("same")
-    e = e.withColumn("bt", F.when(found & (~same | cites_preprint()), X.norm_title("b_title")))
-    e = e.withColumn("rt", F.when(found & ~same, X.norm_title(F.coalesce("rec.title", F.lit("")))))
+    e = e.withColumn("rest", F.when(~same & found, X.beyond(F.trim("rec.title"), "b_title")))
+    rest = F.col("rest")
+    e = e.withColumn("bt", F.when(found & (~same | cites_preprint()), F.when(rest.isNull() | cites_preprint(), X.norm_title("b_title"))))
+    e = e.withColumn("rt", F.when(found & ~same, F.when(rest.isNull(), X.norm_title(F.coalesce("rec.title", F.lit(""))))))
     bt, rt = F.col("bt"), F.col("rt")
-    other_title = ~same & (bt != "") & (rt != "") & (bt != rt)
+    e = e.withColumn("other_title", F.when(rest.isNotNull(), X.norm_title(rest) != "").otherwise(~same & (bt != "") & (rt != "") & (bt != rt)))
+    other_title = F.col("other_title")
     go = ~skip & found & ~(other_title & ~strong)
     official = F.filter("usable", lambda x: F.coalesce(x["strong"], F.lit(False)) & ~is_preprint(x["venue"]) & x["year"].isNotNull())
     years = F.transform(official, lambda x: x["year"])

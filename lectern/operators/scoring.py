@@ -18,7 +18,7 @@ def rank_of(col: Column | str, ladder: tuple[str, ...]) -> Column:
 def worst(col: Column | str, ladder: tuple[str, ...] = SEVERITIES) -> Column:
     """Aggregate: the most severe value, SKIP if there is none."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(F.min_by(c, rank_of(c, ladder)), F.lit(ladder[-1]))
+    return F.coalesce(F.get(F.array(*map(F.lit, ladder)), F.min(rank_of(c, ladder)).cast("int")), F.lit(ladder[-1]))
 
 
 def overlap(title: Column, angles: Column) -> Column:

@@ -8,6 +8,7 @@ import pytest
 from lectern import catalogue
 from lectern.operators import bibliography as B
 from lectern.parse import bibtex
+from lectern.plans import scholarly
 from oracle import compare
 
 TEXT = r"""
@@ -109,3 +110,43 @@ def test_a_repeated_document_meets_its_own_record(spark, tmp_path, name):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
     got, want = compare(catalogue.queries()[name](spark, str(tmp_path)), con, catalogue.oracle_sql()[name])
     assert got == want
+
+
+def test_titles_that_go_on_from_one_another_fold_the_rest_alone(spark):
+    titles = [("A study", "A study, more"), ("A study: more", "A study"), ("A study", "A study!"), ("!", "! more"), ("A study", "More")]
+    entries = spark.createDataFrame([(str(i), "article", BASE | {"title": a}) for i, (a, _) in enumerate(titles)], "key string, etype string, fields map<string,string>")
+    records = spark.createDataFrame([(str(i), *(REC | {"title": b}).values()) for i, (_, b) in enumerate(titles)], "entry_key string, " + B.RECORD[7:-1])
+    found = B.check(entries, records)
+    assert {r.key for r in found.collect() if r.field == "title"} == {"0", "1", "4"}
+    assert re.search(r"CASE WHEN isnotnull\(rest#\d+\) THEN NOT \(trim\(regexp_replace\(CASE WHEN \(octet_length\(rest#", found._jdf.queryExecution().optimizedPlan().toString())
+
+
+@pytest.mark.parametrize("bits", [1, 64, 1 << 23])
+def test_marks_miss_no_document(spark, monkeypatch, bits):
+    monkeypatch.setattr(scholarly, "_MARKS", bits)
+    docs = spark.range(-500, 500).selectExpr("id * 12345678901 AS doc_id", "'t' AS text").union(spark.sql("SELECT CAST(NULL AS BIGINT), 't'"))
+    ids = spark.range(-500, 500, 10).selectExpr("id * 12345678901 AS doc_id")
+    got = scholarly._marked(docs, ids)
+    assert got.columns == ["doc_id", "text", "marked"] and got.count() == 1001
+    marked = {r.doc_id for r in got.where("marked").collect()}
+    assert {r.doc_id for r in ids.collect()} <= marked
+    assert bits < 1 << 23 or len(marked) < 110
+    narrow = spark.range(0, 1000, 10).selectExpr("CAST(id AS INT) AS doc_id")
+    assert scholarly._marked(spark.range(1000).toDF("doc_id"), narrow).where("marked AND doc_id % 10 = 0").count() == 100
+    assert scholarly._marked(docs, ids.where("false")).where("marked").count() == 0
+
+
+@pytest.mark.parametrize("name", ["rule_engine", "worst_severity", "bib_coverage"])
+@pytest.mark.parametrize("bits", [1, 1 << 23])
+def test_findings_are_the_same_whatever_is_marked(spark, tmp_path, monkeypatch, name, bits):
+    monkeypatch.setattr(scholarly, "_MARKS", bits)
+    texts = ["One", "", " ", "!", "One", "Ünï", "one more", " x ", "more"]
+    docs = [(i, texts[i % 9], f"src{i % 3}") for i in range(49)] + [(50, None, "src1"), (51, "five", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, q, t) for i in range(0, 40, 2) for q, t in ([(1, 0)], [(0, 1)], [(0, 0), (0, 1)], [(1, 1), (0, 0)])[i // 2 % 4]] + [(50, 0, 0), (None, 1, 1), (99, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for table in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    got, want = compare(catalogue.queries()[name](spark, str(tmp_path)), con, catalogue.oracle_sql()[name])
+    assert got == want

@@ -47,3 +47,15 @@ def test_texts_meet_labels_once_and_unsorted(spark, name):
     text = plan(catalogue.queries()[name](spark, SF))
     assert len(re.findall(r"ReadSchema: struct<[^>]*\btext:string", text)) == 1
     assert "SortMergeJoin" not in text and "collect_list" not in text
+
+
+@pytest.mark.parametrize("name", ["rule_engine", "worst_severity"])
+def test_texts_stay_at_the_scan_unless_marked(spark, name):
+    text = catalogue.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"THEN text#\d+ END AS text#\d+[^\n]*\n[^\n]*Join LeftOuter, \(word#", text), text
+
+
+def test_alike_entries_are_checked_once(spark):
+    text = plan(catalogue.queries()["worst_severity"](spark, SF))
+    assert re.search(r"Generate explode.*HashAggregate\(keys=\[text#.*ShuffledHashJoin", text, re.S), text
+    assert "SortAggregate" not in text

@@ -89,3 +89,15 @@ def test_key_keeps_letters_digits_and_spaces_alone(spark):
 @pytest.mark.parametrize("raw", ["", " \n", "A~b`C", "\ta, (b) -  C\u00a0", "É\u0301tude: ß Ünï\u2019s K", "x\u20ac y", "Ƶ İ"])
 def test_title_keys_in_ascii_and_beyond(spark, raw):
     assert one(spark, X.norm_title("c0"), raw) == " ".join(re.findall("[a-z0-9]+", X.fold_text(raw)))
+
+
+@pytest.mark.parametrize("more", ["", " more", " Über", "!?", " ~`´", "\u0301", "ß", "\u212a", "Σ", " \u4e2d", "\u01307"])
+@pytest.mark.parametrize("start", ["", "a", "Größe", "Πό", "!", "I", "x \u0301"])
+def test_what_goes_beyond_a_title_decides_if_keys_differ(spark, start, more):
+    df = spark.createDataFrame([(start, start + more)], "a string, b string")
+    key, other = X.norm_title("a"), X.norm_title("b")
+    for rest in (X.beyond("a", "b"), X.beyond("b", "a")):
+        got, known, differs = df.select(rest, X.norm_title(rest) != "", key != other).first()
+        assert got == (more if re.search("[A-Za-z0-9]", start) else None)
+        assert got is None or known == differs
+    assert df.select(X.beyond(F.concat(F.lit("b"), "a"), F.concat(F.lit("c"), "b"))).first()[0] is None
